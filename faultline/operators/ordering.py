@@ -168,3 +168,36 @@ def first_rows(rows: DataFrame, bucket: str, order: Sequence[str], count: Column
         .otherwise(F.coalesce(at_or_before_last, F.lit(False)))
     )
     return rows.withColumn("is_first", is_first)
+
+
+def burst_ids(
+    gaps: DataFrame,
+    keys: Sequence[str],
+    threshold: Column,
+    timestamp: str = "timestamp",
+    gap: str = "time_diff_seconds",
+) -> DataFrame:
+    """Adds ``group_id``: how many gaps of the key reached the threshold up to this time.
+
+    Rows of one timestamp share a group, since a running total over times counts them all.
+    Rows with a NULL gap must be dropped before. ``threshold`` may be a column.
+    """
+    slot = [*keys, timestamp]
+    seconds = gaps.groupBy(*slot).agg(F.count_if(F.col(gap) >= threshold).alias("_flags"))
+    groups = running_over_chunks(
+        seconds, keys, order=[timestamp], chunk=F.date_trunc("hour", timestamp), amounts=["_flags"]
+    ).select(
+        *[F.col(name).alias(f"_{name}") for name in slot],
+        (F.col("_flags_before") + F.col("_flags")).alias("group_id"),
+    )
+    same_slot = F.col(timestamp) == F.col(f"_{timestamp}")
+    for key in keys:
+        same_slot &= F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return gaps.join(groups, same_slot).select(*gaps.columns, "group_id")
+
+
+def previous_start(starts: DataFrame, keys: Sequence[str], start: str = "min_timestamp") -> DataFrame:
+    """Adds ``prev_timestamp``: the start of the key's previous burst."""
+    return running_over_chunks(
+        starts, keys, order=[start], chunk=F.to_date(start), last=start
+    ).withColumnRenamed("previous", "prev_timestamp")

@@ -90,24 +90,22 @@ def mtbf(errors: DataFrame) -> DataFrame:
     """
     gaps = second_gaps(errors)
     percentiles = agg_percentiles(gap_counts(gaps), HOST, "gap", "n")
-    # A NULL host cannot be told apart from others, so it is never enough for a result.
-    enough = (F.col("gaps") > fixed.MIN_GAPS_EXCLUSIVE) & F.col("host").isNotNull()
-    sparse = percentiles.where(~enough).select(
-        *HOST,
-        F.lit(fixed.SPARSE_KEY).alias("percentile"),
-        F.lit(None).cast("double").alias("threshold_seconds"),
-        F.lit(0).cast("bigint").alias("count_before"),
-        F.lit(0).cast("bigint").alias("count_after"),
-        F.lit(0.0).alias("mtbf_seconds"),
-        F.lit("sparse").alias("status"),
+    # A NULL host is many unknown hosts, so it never has enough gaps of its own.
+    sparse = (F.col("gaps") <= fixed.MIN_GAPS_EXCLUSIVE) | F.col("host").isNull()
+    no_threshold = F.array(F.lit(None).cast("double"))
+    thresholds = explode_thresholds(
+        percentiles.withColumn("sparse", sparse).withColumn(
+            "thresholds", F.when(F.col("sparse"), no_threshold).otherwise(F.col("thresholds"))
+        )
+    )
+    maxima = second_maxima(gaps).withColumnsRenamed({name: f"_{name}" for name in HOST})
+    same_host = F.col("period").eqNullSafe(F.col("_period")) & F.col("host").eqNullSafe(
+        F.col("_host")
     )
-
-    keys = F.array(*[F.lit(key) for key in fixed.PERCENTILE_KEYS])
-    thresholds = explode_thresholds(percentiles.where(enough))
     starts_burst = F.col("largest") >= F.col("threshold_seconds")
     bursts = (
-        thresholds.join(second_maxima(gaps), HOST)
-        .groupBy(*HOST, "percentile", "threshold_seconds", "gaps")
+        thresholds.join(maxima, same_host, "left")
+        .groupBy(*HOST, "sparse", "percentile", "threshold_seconds", "gaps")
         .agg(
             F.sum(F.when(starts_burst, F.col("seconds")).otherwise(0)).alias("flagged"),
             F.min("first").alias("first"),
@@ -120,16 +118,27 @@ def mtbf(errors: DataFrame) -> DataFrame:
     count_after = F.col("flagged") + opens_unflagged
     burst_gaps = count_after - 1
     has_mtbf = burst_gaps > fixed.MIN_BURST_GAPS_EXCLUSIVE
-    dense = bursts.select(
+    keys = F.array(*[F.lit(key) for key in fixed.PERCENTILE_KEYS])
+
+    def unless_sparse(value: Column, default: Column) -> Column:
+        return F.when(F.col("sparse"), default).otherwise(value)
+
+    zero = F.lit(0).cast("bigint")
+    return bursts.select(
         *HOST,
-        F.element_at(keys, F.col("percentile") + 1).alias("percentile"),
+        unless_sparse(
+            F.element_at(keys, F.col("percentile") + 1), F.lit(fixed.SPARSE_KEY)
+        ).alias("percentile"),
         "threshold_seconds",
-        F.col("gaps").alias("count_before"),
-        count_after.alias("count_after"),
-        F.when(has_mtbf, (F.col("last") - F.col("first")) / burst_gaps).alias("mtbf_seconds"),
-        F.when(has_mtbf, "ok").otherwise("few_bursts").alias("status"),
+        unless_sparse(F.col("gaps"), zero).alias("count_before"),
+        unless_sparse(count_after, zero).alias("count_after"),
+        unless_sparse(
+            F.when(has_mtbf, (F.col("last") - F.col("first")) / burst_gaps), F.lit(0.0)
+        ).alias("mtbf_seconds"),
+        unless_sparse(F.when(has_mtbf, "ok").otherwise("few_bursts"), F.lit("sparse")).alias(
+            "status"
+        ),
     )
-    return dense.unionByName(sparse)
 
 
 def mtbf_periods(errors: DataFrame, first: str, last: str) -> DataFrame:
