@@ -9,7 +9,7 @@ from faultline.functions import calendars, parse, times
 from faultline.operators import columns as ops
 
 HEADERS_SQL = (
-    "'6' as priority, cast(epoch_ms(exact_ts) as varchar) as timestamp, host, '0' as partition, "
+    "'6' as priority, cast(epoch_us(exact_ts) // 1000 as varchar) as timestamp, host, '0' as partition, "
     "'0' as \"Facility\", 'syslog' as topic, cast(severity as varchar) as \"Severity\""
 )
 
@@ -33,7 +33,7 @@ def headers_to_columns(spark, sf_dir):
 
 @query(
     t.with_logs(
-        "select cast(epoch_ms(exact_ts) as varchar) as epoch_ms, timestamp as at from logs"
+        "select cast(epoch_us(exact_ts) // 1000 as varchar) as epoch_ms, timestamp as at from logs"
     )
 )
 def epoch_ms_to_ts(spark, sf_dir):
@@ -52,7 +52,7 @@ def decode_body(spark, sf_dir):
 
 @query(
     t.with_logs(
-        f"select {HEADERS_SQL.replace('cast(epoch_ms(exact_ts) as varchar) as timestamp', 'timestamp')}, "
+        f"select {HEADERS_SQL.replace('cast(epoch_us(exact_ts) // 1000 as varchar) as timestamp', 'timestamp')}, "
         "msg, year, month, day from logs"
     )
 )

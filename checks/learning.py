@@ -9,7 +9,6 @@ from checks.registry import query
 from faultline import fixed_values as fixed
 from faultline.operators import aggregates, evaluation, sampling, sets, sorting
 from faultline.operators.filters import filter_class
-from faultline.plans import features as feature_plans
 from faultline.plans import learning
 
 # Fewer rounds than the default of 300, to keep a check short.
@@ -46,7 +45,7 @@ def ml_sql(select: str) -> str:
 
 
 def features(spark, sf_dir):
-    return feature_plans.feature_dataset(t.typed(spark, sf_dir), 2024, 1, 3600)
+    return t.read_features(spark, t.january_features(spark, sf_dir))
 
 
 def split(spark, sf_dir):
@@ -57,19 +56,6 @@ def train_rows(spark, sf_dir):
     return split(spark, sf_dir).where("split = 'train'")
 
 
-def sampled(spark, sf_dir):
-    return sampling.downsample_negatives(train_rows(spark, sf_dir))
-
-
-def stored_split(spark, sf_dir):
-    """Training reads its rows many times, so they are stored first."""
-    from faultline.sinks.tables import written_table
-
-    rows = written_table(split(spark, sf_dir), "split")
-    train = sampling.downsample_negatives(rows.where("split = 'train'"))
-    return written_table(train, "train"), rows.where("split = 'test'")
-
-
 @query(
     ml_sql(
         "select * exclude (host, log_intensity), round(log_intensity, 6) as log_intensity "
@@ -87,9 +73,8 @@ def temporal_split(spark, sf_dir):
 
 @query(ml_sql("select host, feature_window_start, num_logs, label_next_hour from sampled"))
 def downsample_negatives(spark, sf_dir):
-    return sampled(spark, sf_dir).select(
-        "host", "feature_window_start", "num_logs", "label_next_hour"
-    )
+    train, _ = learning.training_tables(features(spark, sf_dir))
+    return train.select("host", "feature_window_start", "num_logs", "label_next_hour")
 
 
 @query(
@@ -121,7 +106,7 @@ def agg_class_stats(spark, sf_dir):
         "select host, feature_window_start, "
         + ", ".join(
             f"round(({name} - (select avg({name}) from split where split = 'train')) / "
-            f"(select stddev_pop({name}) from split where split = 'train'), 6) as {name}"
+            f"(select stddev_pop({name}) from split where split = 'train'), 4) as {name}"
             for name in fixed.MODEL_FEATURES
         )
         + " from split"
@@ -130,25 +115,26 @@ def agg_class_stats(spark, sf_dir):
 def standard_scale(spark, sf_dir):
     rows = split(spark, sf_dir)
     scaled = learning.standard_scale(rows, rows.where("split = 'train'"))
-    return scaled.select("host", "feature_window_start", *fixed.MODEL_FEATURES)
+    columns = [F.round(name, 4).alias(name) for name in fixed.MODEL_FEATURES]
+    return scaled.select("host", "feature_window_start", *columns)
 
 
 # --- Models: no SQL form ----------------------------------------------------------
 @query()
 def train_lr(spark, sf_dir):
-    train, test = stored_split(spark, sf_dir)
+    train, test = learning.training_tables(features(spark, sf_dir))
     return learning.score_model(learning.train_lr(train), test)
 
 
 @query()
 def train_gbt(spark, sf_dir):
-    train, test = stored_split(spark, sf_dir)
+    train, test = learning.training_tables(features(spark, sf_dir))
     return learning.score_model(learning.train_gbt(train, rounds=GBT_ROUNDS), test)
 
 
 @query()
 def score_model(spark, sf_dir):
-    train, test = stored_split(spark, sf_dir)
+    train, test = learning.training_tables(features(spark, sf_dir))
     scores = learning.score_model(learning.train_lr(train, max_iter=50), test)
     return scores.groupBy("label").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -160,19 +146,19 @@ def score_model(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    train, _ = stored_split(spark, sf_dir)
+    train, _ = learning.training_tables(features(spark, sf_dir))
     return learning.feature_importance(learning.train_gbt(train, rounds=5), train)
 
 
 @query()
 def lr_coefficients(spark, sf_dir):
-    train, _ = stored_split(spark, sf_dir)
+    train, _ = learning.training_tables(features(spark, sf_dir))
     return learning.lr_coefficients(learning.train_lr(train), train)
 
 
 @query()
 def topk_features(spark, sf_dir):
-    train, _ = stored_split(spark, sf_dir)
+    train, _ = learning.training_tables(features(spark, sf_dir))
     weights = learning.lr_coefficients(learning.train_lr(train), train)
     top = sorting.topk_features(weights, 3).withColumn("end", F.lit("top"))
     return top.unionByName(

@@ -16,7 +16,7 @@ from faultline.sources import tables as sources
 from checks.jobs import FEATURES_SQL, MTBF_CTES, MTBF_SQL
 
 RAW_COLUMNS = (
-    "cast(epoch_ms(exact_ts) as varchar) as epoch_ms, host, cast(severity as varchar) as severity, "
+    "cast(epoch_us(exact_ts) // 1000 as varchar) as epoch_ms, host, cast(severity as varchar) as severity, "
     "msg, year, month, day"
 )
 

@@ -19,6 +19,7 @@ from faultline.plans.mtbf import mtbf
 from faultline.session import shared_folder, use_utc
 from faultline.sinks.results import sink_results_json
 from faultline.sinks.tables import sink_features_month, write_partitioned
+from faultline.sources.tables import scan_feature_dataset
 
 # Read by Spark and by DuckDB; {events} is the events table.
 LOGS = """
@@ -175,6 +176,16 @@ def feature_table(spark: SparkSession, sf_dir: str, path: str) -> None:
     sink_features_month(rows.drop("window_seconds"), path)
 
 
+@once
+def january_features(spark: SparkSession, sf_dir: str, path: str) -> None:
+    rows = feature_dataset_periods(typed(spark, sf_dir), (2024, 1), (2024, 1), [3600])
+    sink_features_month(rows.drop("window_seconds"), path)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    return scan_feature_dataset(spark, f"{path}/year=*/month=*", path)
+
+
 @once
 def result_table(spark: SparkSession, sf_dir: str, path: str) -> None:
     sink_results_json(mtbf(errors(spark, sf_dir, 15)), path)

@@ -54,7 +54,22 @@ def label_starts(bucket: Column, window: int, bucket_seconds: int, mode: str) ->
     latest = latest - F.pmod(latest, F.lit(window))
     count = (HOUR - bucket_seconds) // window + 1
     starts = F.array(*[latest - step * window for step in range(count)])
-    return F.filter(starts, lambda start: start + window + HOUR > bucket)
+    # Only errors matter here, as there is no target hour to report.
+    return F.filter(
+        starts, lambda start: (F.col("error_max") == 1) & (start + window + HOUR > bucket)
+    )
+
+
+def contribution(window: int, start: Column, is_label: bool) -> Column:
+    return F.struct(
+        F.lit(window).alias("window_seconds"),
+        start.cast("bigint").alias("start"),
+        F.lit(is_label).alias("is_label"),
+    )
+
+
+def label_contributions(window: int, starts: Column) -> Column:
+    return F.transform(starts, lambda start: contribution(window, start, True))
 
 
 def window_features(
@@ -72,23 +87,11 @@ def window_features(
     bucket = F.col("bucket")
     hour = bucket - F.pmod(bucket, F.lit(HOUR))
 
-    def contribution(window: int, start: Column, is_label: bool) -> Column:
-        return F.struct(
-            F.lit(window).alias("window_seconds"),
-            start.cast("bigint").alias("start"),
-            F.lit(is_label).alias("is_label"),
-        )
-
     contributions = []
     for window in windows:
         own = contribution(window, bucket - F.pmod(bucket, F.lit(window)), False)
-        labels = F.transform(
-            label_starts(bucket, window, size, mode),
-            lambda start, window=window: contribution(window, start, True),
-        )
-        if mode == "rolling":  # only errors matter; there is no target hour to report
-            labels = F.when(F.col("error_max") == 1, labels)
-        contributions += [F.array(own), F.coalesce(labels, F.filter(F.array(own), lambda _: F.lit(False)))]
+        labels = label_contributions(window, label_starts(bucket, window, size, mode))
+        contributions += [F.array(own), labels]
 
     measures = ["logs", "errors", "severity_sum", "severity_count", "severity_max"]
     is_label = F.col("is_label")

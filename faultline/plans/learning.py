@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from faultline import fixed_values as fixed
 from faultline.functions.calendars import time_features
 from faultline.operators.columns import drop_if_present, log_intensity
-from faultline.operators.sampling import LABEL
+from faultline.operators.sampling import LABEL, downsample_negatives, temporal_split
+from faultline.sinks.tables import written_table
 
 
 def ml_prepare(
@@ -31,6 +32,21 @@ def ml_prepare(
     return rows if keep_host else drop_if_present(rows, "host")
 
 
+def training_tables(
+    features: DataFrame,
+    train_fraction: float = fixed.TRAIN_FRACTION,
+    negative_fraction: float = fixed.NEGATIVE_FRACTION,
+    seed: int = fixed.SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """Train rows with few negatives, and all test rows, both stored.
+
+    Training reads its rows many times, so they are written once and read back.
+    """
+    rows = written_table(temporal_split(ml_prepare(features), train_fraction), "split-rows")
+    train = downsample_negatives(rows.where("split = 'train'"), negative_fraction, seed)
+    return written_table(train, "train-rows"), rows.where("split = 'test'")
+
+
 def standard_scale(
     rows: DataFrame, fit_on: DataFrame, columns: Sequence[str] = fixed.MODEL_FEATURES
 ) -> DataFrame:
