@@ -47,6 +47,7 @@ CE_COUNT_PATTERN = r"(\d+)"
 ERROR_CLASS_PATTERN = (
     r".*?(\bCE\b|\bUE\b|\bSBE\b|\bDBE\b).*?CPU_SrcID#(\d+?)_(?:MC|Ha)#(\d+?)_Chan#(\d+?)_DIMM#(\d+?).*"
 )
+ERROR_CLASS_LITERAL = "CPU_SrcID#"  # part of every match
 
 # --- MTBF -------------------------------------------------------------------------
 GAP_PERCENTILES = (0.25, 0.50, 0.75, 0.90)

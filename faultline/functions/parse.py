@@ -44,16 +44,26 @@ def host_or_unknown(host: Column) -> Column:
     return F.when(blank, F.lit(fixed.UNKNOWN_HOST)).otherwise(host)
 
 
+def error_class_group(msg: Column, group: int) -> Column:
+    """A group of the error class pattern, '' without a match, NULL for NULL.
+
+    Only messages with the literal part of the pattern are given to it: where it fails,
+    the pattern takes time that grows with the square of the message length.
+    """
+    can_match = msg.contains(fixed.ERROR_CLASS_LITERAL)
+    value = F.regexp_extract(msg, fixed.ERROR_CLASS_PATTERN, group)
+    return F.when(can_match, value).when(~can_match, F.lit(""))
+
+
 def classify_error(msg: Column) -> Column:
-    """Error class of a message that also locates a DIMM; '' without, NULL for NULL."""
-    return F.regexp_extract(msg, fixed.ERROR_CLASS_PATTERN, 1)
+    """Error class of a message that also locates a DIMM."""
+    return error_class_group(msg, 1)
 
 
 def parse_dimm_locator(msg: Column) -> list[Column]:
     names = ("socket", "controller", "channel", "dimm")
     return [
-        F.regexp_extract(msg, fixed.ERROR_CLASS_PATTERN, group).alias(name)
-        for group, name in enumerate(names, start=2)
+        error_class_group(msg, group).alias(name) for group, name in enumerate(names, start=2)
     ]
 
 

@@ -22,6 +22,19 @@ def time_bucket(timestamp: Column | str, seconds: int) -> Column:
     return F.window(timestamp, f"{seconds} seconds").getField("start")
 
 
+def windows_ending_before(bucket: Column, bucket_seconds: int, window: int, span: int) -> Column:
+    """Starts of the windows that end at a bucket or up to ``span`` seconds before it.
+
+    All times are epoch seconds, windows start at multiples of their size, and window and
+    span are multiples of the bucket. The array has at most ceil(span / window) items.
+    """
+    latest = bucket - window
+    latest = latest - F.pmod(latest, F.lit(window))
+    count = (span - bucket_seconds) // window + 1
+    starts = F.array(*[latest - step * window for step in range(count)])
+    return F.filter(starts, lambda start: start + window + span > bucket)
+
+
 def shift_seconds(timestamp: Column, seconds: Column | int) -> Column:
     seconds = F.lit(seconds) if isinstance(seconds, int) else seconds
     return timestamp + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
-from faultline.functions.times import shift_seconds
+from faultline.functions.times import shift_seconds, time_bucket, windows_ending_before
 
 
 def join_features_target(
@@ -28,28 +30,25 @@ def next_hour_label_rolling(
 ) -> DataFrame:
     """Features with 1 where the host has an error in the hour after the window's end.
 
-    An error second names the windows it labels: those with a start, a multiple of the
-    window size, in (second - window - 1 hour, second - window]. Distinct (host, start)
-    pairs then join by equality, so there is no range join and no window over a host.
+    Errors are first reduced to distinct (host, bucket) pairs, with buckets that fit both
+    the window and the hour. A bucket names the few windows that it labels, and these join
+    by equality, so there is no range join and no window over a host.
     """
-    second = F.unix_seconds(F.col("timestamp"))
-    latest = second - window_seconds
-    aligned = latest - F.pmod(latest, F.lit(window_seconds))
-    earliest = second - window_seconds - fixed.LOOKAHEAD_SECONDS + 1
-    starts = F.sequence(aligned, aligned - fixed.LOOKAHEAD_SECONDS, F.lit(-window_seconds))
+    hour = fixed.LOOKAHEAD_SECONDS
+    size = gcd(hour, window_seconds)
+    starts = windows_ending_before(F.col("bucket"), size, window_seconds, hour)
     labelled = (
         flagged.where("is_error = 1")
-        .select("host", second.alias("_second"))
+        .withColumn("bucket", F.unix_seconds(time_bucket("timestamp", size)))
+        .select("host", "bucket")
+        .distinct()
+        .select("host", F.explode(starts).alias("start"))
         .distinct()
-        .select("host", F.timestamp_seconds("_second").alias("timestamp"))
-        .select("host", earliest.alias("_earliest"), F.explode(starts).alias("_start"))
-        .where(F.col("_start") >= F.col("_earliest"))
         .select(
             "host",
-            F.timestamp_seconds("_start").alias("feature_window_start"),
+            F.timestamp_seconds("start").alias("feature_window_start"),
             F.lit(1).alias("label_next_hour"),
         )
-        .distinct()
     )
     joined = features.join(labelled, ["host", "feature_window_start"], "left")
     return joined.fillna({"label_next_hour": 0})

@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
 from faultline.functions.parse import classify_error, error_flag, host_or_unknown, severity_int
-from faultline.functions.times import in_time_range, month_after, time_bucket
+from faultline.functions.times import (
+    in_time_range,
+    month_after,
+    time_bucket,
+    windows_ending_before,
+)
 from faultline.operators.aggregates import merged_features, partial_features
 from faultline.operators.columns import error_ratio
 from faultline.sources.tables import Month, months_with_lookahead
@@ -50,14 +55,9 @@ def label_starts(bucket: Column, window: int, bucket_seconds: int, mode: str) ->
         return F.when(F.pmod(start, F.lit(window)) == 0, F.array(start)).otherwise(
             F.array().cast("array<bigint>")
         )
-    latest = bucket - window
-    latest = latest - F.pmod(latest, F.lit(window))
-    count = (HOUR - bucket_seconds) // window + 1
-    starts = F.array(*[latest - step * window for step in range(count)])
     # Only errors matter here, as there is no target hour to report.
-    return F.filter(
-        starts, lambda start: (F.col("error_max") == 1) & (start + window + HOUR > bucket)
-    )
+    starts = windows_ending_before(bucket, bucket_seconds, window, HOUR)
+    return F.filter(starts, lambda _: F.col("error_max") == 1)
 
 
 def contribution(window: int, start: Column, is_label: bool) -> Column:

@@ -1,8 +1,10 @@
 """Writers of partitioned Parquet tables.
 
 Writing replaces only the partitions present in the data, so a job can be run again for
-one day or month. Files are sized by Spark: the rebalance hint groups rows by partition
-and splits a partition that is too large for one task, such as a busy host.
+one day or month. Small results are regrouped before writing with the rebalance hint: it
+groups rows by partition and splits a partition that is too large for one task, such as a
+busy host. Typed logs are as large as the raw logs and already lie together by day, so
+they are written by the tasks that read them, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,12 +20,10 @@ def write_partitioned(
     table: DataFrame,
     path: str,
     partitions: Sequence[str],
-    tasks: int | None = None,
     max_records_per_file: int = 0,
 ) -> None:
-    laid_out = table.coalesce(tasks) if tasks else table.hint("rebalance", *partitions)
     (
-        laid_out.write.mode("overwrite")
+        table.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", max_records_per_file)
@@ -34,21 +34,27 @@ def write_partitioned(
 
 def sink_memory_errors(errors: DataFrame, path: str) -> None:
     columns = ["timestamp", "msg", "year", "month", "day", "host"]
-    write_partitioned(errors.select(*columns), path, ["year", "month", "day", "host"])
+    partitions = ["year", "month", "day", "host"]
+    write_partitioned(errors.select(*columns).hint("rebalance", *partitions), path, partitions)
 
 
 def sink_typed_logs(
     logs: DataFrame, path: str, tasks: int | None = None, max_records_per_file: int = 0
 ) -> None:
     """Typed logs by day. ``tasks`` limits the write tasks, which only suits small input."""
-    write_partitioned(logs, path, ["year", "month", "day"], tasks, max_records_per_file)
+    if tasks:
+        logs = logs.coalesce(tasks)
+    write_partitioned(logs, path, ["year", "month", "day"], max_records_per_file)
 
 
 def sink_features_month(features: DataFrame, path: str, files: int | None = None) -> None:
     """Feature rows by month; ``files`` asks for that many files instead of Spark's choice."""
+    partitions = ["year", "month"]
     if files:
         features = features.repartition(files)
-    write_partitioned(features, path, ["year", "month"], tasks=files)
+    else:
+        features = features.hint("rebalance", *partitions)
+    write_partitioned(features, path, partitions)
 
 
 def written_table(table: DataFrame, name: str) -> DataFrame:
