@@ -13,7 +13,6 @@ from faultline.plans import bursts as burst_plans
 from faultline.plans import features as feature_plans
 from faultline.plans import mtbf as mtbf_plans
 from faultline.plans import profiles, reports
-from faultline.plans.collect import memory_errors, typed_logs
 from faultline.plans.features import flag_logs
 from faultline.sources.results import scan_results_json
 
@@ -423,7 +422,7 @@ def collect_memory_errors(spark, sf_dir):
 
 @query(t.with_logs(MTBF_SQL, **MTBF_CTES))
 def mtbf(spark, sf_dir):
-    return mtbf_plans.mtbf(memory_errors(t.raw_logs(spark, sf_dir)))
+    return mtbf_plans.mtbf(t.errors(spark, sf_dir))
 
 
 @query(t.with_logs(MTBF_SQL, 15, **MTBF_CTES))
@@ -443,8 +442,7 @@ def burst_table(spark, sf_dir):
     )
 )
 def feature_dataset(spark, sf_dir):
-    logs = typed_logs(t.raw_logs(spark, sf_dir))
-    return feature_plans.feature_dataset(logs, 2024, 1, 3600)
+    return feature_plans.feature_dataset(t.typed(spark, sf_dir), 2024, 1, 3600)
 
 
 PERIOD_WINDOWS = (300, 1800, 3600, 10800)

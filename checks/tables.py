@@ -16,7 +16,7 @@ from faultline.operators.filters import filter_host_prefixes, filter_memory_erro
 from faultline.plans.collect import collect_memory_errors, collect_typed_logs
 from faultline.plans.features import feature_dataset_periods
 from faultline.plans.mtbf import mtbf
-from faultline.session import shared_folder, use_utc
+from faultline.session import shared_folder, require_settings
 from faultline.sinks.results import sink_results_json
 from faultline.sinks.tables import sink_features_month, write_partitioned
 from faultline.sources.tables import scan_feature_dataset
@@ -63,11 +63,11 @@ CLASS_PATTERN = (
 
 # --- Spark forms ------------------------------------------------------------------
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    use_utc(spark)
+    require_settings(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def logs(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+def derived_logs(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     events = read(spark, sf_dir, "events")
     rows = spark.sql(LOGS.replace("{shift}", str(shift)), events=events)
     rows = spark.sql(DATED, logs=rows)
@@ -76,6 +76,12 @@ def logs(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     )
 
 
+def logs(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """The derived logs, stored by day like a log table."""
+    path = (log_table if shift == 0 else shifted_log_table)(spark, sf_dir)
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
 def errors(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     return filter_memory_errors(filter_host_prefixes(logs(spark, sf_dir, shift)))
 
@@ -155,9 +161,30 @@ def once(write: Callable[[SparkSession, str, str], None]) -> Callable[[SparkSess
     return lambda spark, sf_dir: path_for(spark.sparkContext.applicationId, sf_dir, spark)
 
 
+LOG_SCHEMA = (
+    "event_id bigint, timestamp timestamp, exact_ts timestamp, host string, severity int, "
+    "msg string, year string, month string, day string"
+)
+
+
+def write_by_day(table: DataFrame, path: str) -> None:
+    partitions = ["year", "month", "day"]
+    write_partitioned(table.hint("rebalance", *partitions), path, partitions)
+
+
+@once
+def log_table(spark: SparkSession, sf_dir: str, path: str) -> None:
+    write_by_day(derived_logs(spark, sf_dir, 0), path)
+
+
+@once
+def shifted_log_table(spark: SparkSession, sf_dir: str, path: str) -> None:
+    write_by_day(derived_logs(spark, sf_dir, 15), path)
+
+
 @once
 def raw_table(spark: SparkSession, sf_dir: str, path: str) -> None:
-    write_partitioned(raw_logs(spark, sf_dir, 15), path, ["year", "month", "day"])
+    write_by_day(raw_logs(spark, sf_dir, 15), path)
 
 
 @once

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +36,17 @@ def ranked_scores(scored: DataFrame) -> DataFrame:
     class totals. The counts are stored first, so a model scores its rows only once.
     """
     counts = written_table(score_counts(scored), "score-counts")
-    descending = counts.withColumn("_key", -F.col("score"))
-    steps = [step / RANGES for step in range(1, RANGES)]
-    limits = descending.agg(F.percentile_approx("_key", steps, 1000)).scalar()
     totals = counts.agg(
         F.struct(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     ).scalar()
-    key = F.col("_key")
+    ranges = QuantileDiscretizer(
+        numBuckets=RANGES, inputCol="score", outputCol="_range", relativeError=0.1 / RANGES
+    ).fit(counts)
     running = running_over_chunks(
-        descending.withColumn("_limits", limits),
+        ranges.transform(counts).withColumn("_key", -F.col("score")),
         keys=[],
         order=["_key"],
-        chunk=F.size(F.filter("_limits", lambda limit: limit <= key)),
+        chunk=-F.col("_range"),
         amounts=["positives", "negatives"],
     )
     return running.select(

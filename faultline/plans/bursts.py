@@ -13,46 +13,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
-from faultline.functions.parse import error_field, number_ce_error
+from faultline.functions.parse import number_ce_error
 from faultline.operators.filters import filter_exclude_noise
 from faultline.operators.ordering import running_over_chunks
 from faultline.sinks.tables import written_table
 
 
+def error_rows(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
+    msg = F.col("msg")
+    rows = filter_exclude_noise(errors).where(F.col("timestamp").isNotNull())
+    return rows.select(
+        *dict.fromkeys(["timestamp", *tie]),
+        # An extracted field is NULL only where the message is, so none is extracted here.
+        msg.isNotNull().cast("int").alias("_messages"),
+        number_ce_error(msg).try_cast("int").alias("_ce"),
+    )
+
+
 def second_counts(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
     """Per second: rows, rows with a message, and the error numbers, without the first row.
 
     The first row of all has no gap and belongs to no burst. Of several rows in the first
     second, ``tie`` decides which one that is.
     """
-    msg = F.col("msg")
-    rows = filter_exclude_noise(errors).where(F.col("timestamp").isNotNull())
-    rows = rows.select(
-        *dict.fromkeys(["timestamp", *tie]),
-        F.when(error_field("err_code", msg).isNotNull(), 1).otherwise(0).alias("_messages"),
-        number_ce_error(msg).try_cast("int").alias("_ce"),
-    )
-    first_second = rows.agg(F.min("timestamp")).scalar()
-    dropped = (
-        rows.where(F.col("timestamp") == first_second)
-        .orderBy(*tie)
-        .limit(1)
-        .agg(F.struct(F.sum("_messages").alias("messages"), F.sum("_ce").alias("ce")))
-    ).scalar()
+    rows = error_rows(errors, tie)
     zero = F.lit(0).cast("bigint")
-    is_first = F.col("timestamp") == first_second
-    less = {
-        "rows": F.lit(1),
-        "messages": dropped.getField("messages"),
-        "ce": F.coalesce(dropped.getField("ce"), zero),
-        "ce_rows": dropped.getField("ce").isNotNull().cast("int"),
-    }
-    counts = rows.groupBy("timestamp").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("_messages").alias("messages"),
-        F.coalesce(F.sum("_ce"), zero).alias("ce"),
-        F.count("_ce").alias("ce_rows"),
+    counts = written_table(
+        rows.groupBy("timestamp").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("_messages").alias("messages"),
+            F.coalesce(F.sum("_ce"), zero).alias("ce"),
+            F.count("_ce").alias("ce_rows"),
+        ),
+        "second-counts",
     )
+    # As a number, the first second becomes a literal that the scan can skip files with.
+    first = counts.agg(F.unix_micros(F.min("timestamp"))).first()[0]
+    is_first = F.col("timestamp") == F.timestamp_micros(F.lit(first).cast("bigint"))
+    dropped = rows.where(is_first).orderBy(*tie).select("_messages", "_ce").first()
+    messages, ce = dropped if dropped else (0, None)
+    less = {"rows": 1, "messages": messages, "ce": ce or 0, "ce_rows": int(ce is not None)}
     # The emptied first second stays in the table: the next second's gap starts there.
     return counts.select(
         "timestamp",
@@ -94,7 +94,7 @@ def burst_table(
     tie: Sequence[str] = ("host", "msg"),
 ) -> DataFrame:
     """Per burst: start, sum of the error numbers (NULL without any), number of rows."""
-    seconds = written_table(second_counts(errors, tie), "second-counts")
+    seconds = second_counts(errors, tie)
     ce: Column = F.when(F.sum("ce_rows") > 0, F.sum("ce")).cast("int")
     return (
         second_bursts(seconds, threshold)

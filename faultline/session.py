@@ -8,15 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Times are read and bucketed in UTC, so daylight-saving changes cannot merge hours. As
+# plain numbers in files, timestamps have statistics that let a scan skip files.
+REQUIRED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+}
+
+
 def build_session(app_name: str = "faultline", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` adds or overrides.
 
-    Times are read and bucketed in UTC, so daylight-saving changes cannot merge hours.
     Adaptive execution sizes shuffle partitions and splits skewed ones at run time, so
     no partition count is fixed here.
     """
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **REQUIRED,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -29,9 +36,11 @@ def build_session(app_name: str = "faultline", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def require_settings(spark: SparkSession) -> None:
+    """Sets what results and scans depend on in a session that was made elsewhere."""
+    for key, value in REQUIRED.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
