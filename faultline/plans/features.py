@@ -43,6 +43,10 @@ def flag_logs(typed: DataFrame) -> DataFrame:
     )
 
 
+def no_starts() -> Column:
+    return F.array().cast("array<bigint>")
+
+
 def label_starts(bucket: Column, window: int, bucket_seconds: int, mode: str) -> Column:
     """Starts of the windows of one size that an error in a bucket makes positive.
 
@@ -52,12 +56,10 @@ def label_starts(bucket: Column, window: int, bucket_seconds: int, mode: str) ->
     """
     if mode == "aligned":
         start = bucket - F.pmod(bucket, F.lit(HOUR)) - window
-        return F.when(F.pmod(start, F.lit(window)) == 0, F.array(start)).otherwise(
-            F.array().cast("array<bigint>")
-        )
+        return F.when(F.pmod(start, F.lit(window)) == 0, F.array(start)).otherwise(no_starts())
     # Only errors matter here, as there is no target hour to report.
     starts = windows_ending_before(bucket, bucket_seconds, window, HOUR)
-    return F.filter(starts, lambda _: F.col("error_max") == 1)
+    return F.when(F.col("error_max") == 1, starts).otherwise(no_starts())
 
 
 def contribution(window: int, start: Column, is_label: bool) -> Column:
