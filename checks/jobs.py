@@ -192,7 +192,7 @@ def agg_percentiles(spark, sf_dir):
 
 @query(bursts_sql("select group_id, min_timestamp, number_ce_error, count from bursts"))
 def agg_bursts(spark, sf_dir):
-    rows = clean(spark, sf_dir).withColumn("number_ce_error", F.col("number_ce_error"))
+    rows = clean(spark, sf_dir)
     first = rows.orderBy("timestamp", "event_id").limit(1).agg(F.max("event_id")).scalar()
     seconds = burst_plans.second_bursts(
         burst_plans.second_counts(t.errors(spark, sf_dir), ["event_id"]),
