@@ -74,7 +74,7 @@ SPLIT = "\\n+|(?<=[.!?;])\\s+"
 def normalised(sentence: Column) -> Column:
     plain = F.regexp_replace(F.lower(sentence), "licence", "license")
     plain = F.regexp_replace(plain, "[^a-z0-9 .,/-]+", " ")
-    plain = F.regexp_replace(plain, " +", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, " +", " "), " ([.,])", "$1")
     return F.regexp_replace(plain, "^[ .,/-]+|[ .,/-]+$", "")
 
 
@@ -119,11 +119,11 @@ def scan(documents: DataFrame) -> DataFrame:
         F.when(F.col("text").rlike(HINT), sequences(F.col("text"))).otherwise("").alias("sequence"),
     )
     rows = rows.withColumn("sequence", F.coalesce("sequence", F.lit("")))
-    left, found, kinds = F.concat(F.lit(" "), F.col("sequence")), [], []
+    left, found, kinds = F.regexp_replace("sequence", "([^ ]+) ", " $1 "), [], []
     for ids, name, kind in RULES:
         # Identifiers of one sequence, others may stand between them.
-        pattern = " " + "((?:[a-z0-9-]+ )*?)".join(i + " " for i in ids)
-        rest = " " + "".join(f"${k}" for k in range(1, len(ids)))
+        pattern = "((?: [a-z0-9-]+ )*?)".join(f" {i} " for i in ids)
+        rest = "".join(f"${k}" for k in range(1, len(ids)))
         hit = left.rlike(pattern)
         found.append(F.when(hit, name))
         kinds.append(F.when(hit, kind))
@@ -141,11 +141,11 @@ def scan(documents: DataFrame) -> DataFrame:
 def duckdb_sql() -> str:
     """DuckDB form of the query op1_license_scan, from the same tables of sentences and rules."""
     cases = " ".join(f"when regexp_matches(n, '^(?:{p})$') then '{i}'" for i, p in SENTENCES.items())
-    left, names, kinds = "' ' || sequence", [], []
+    left, names, kinds = "regexp_replace(sequence, '([^ ]+) ', ' \\1 ', 'g')", [], []
     steps = []
     for k, (ids, name, kind) in enumerate(RULES):
-        pattern = " " + "((?:[a-z0-9-]+ )*?)".join(i + " " for i in ids)
-        rest = " " + "".join(f"\\{g}" for g in range(1, len(ids)))
+        pattern = "((?: [a-z0-9-]+ )*?)".join(f" {i} " for i in ids)
+        rest = "".join(f"\\{g}" for g in range(1, len(ids)))
         steps.append(
             f"r{k} as (select *, regexp_matches(left{k}, '{pattern}') as hit{k}, "
             f"regexp_replace(left{k}, '{pattern}', '{rest}', 'g') as left{k + 1} from "
@@ -165,8 +165,8 @@ with s as (
     select doc_id, list_filter(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1\n', 'g'), chr(10)),
       lambda x: trim(x) <> '') as a from documents)),
 n as (
-  select doc_id, place, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s),
-    'licence', 'license', 'g'), '[^a-z0-9 .,/-]+', ' ', 'g'), ' +', ' ', 'g'), '^[ .,/-]+|[ .,/-]+$', '', 'g') as n
+  select doc_id, place, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s),
+    'licence', 'license', 'g'), '[^a-z0-9 .,/-]+', ' ', 'g'), ' +', ' ', 'g'), ' ([.,])', '\\1', 'g'), '^[ .,/-]+|[ .,/-]+$', '', 'g') as n
   from s where regexp_matches(s, '{HINT}')),
 i as (select doc_id, place, case {cases} end as id from n),
 g as (
