@@ -97,6 +97,22 @@ def error_flag(spark, sf_dir):
     return t.logs(spark, sf_dir).select("event_id", flag.alias("is_error"))
 
 
+@query(
+    t.with_logs(
+        "select event_id, epoch(time_bucket(interval 45 minute, timestamp, "
+        "timestamp '1970-01-01'))::bigint as short, epoch(date_trunc('hour', timestamp))::bigint "
+        "as long from logs"
+    )
+)
+def parse_window_size(spark, sf_dir):
+    sizes = {"short": "45 minutes", "long": " 1 hour"}
+    buckets = [
+        times.bucket_seconds("timestamp", times.parse_window_size(text)).alias(name)
+        for name, text in sizes.items()
+    ]
+    return t.logs(spark, sf_dir).select("event_id", *buckets)
+
+
 @query(t.with_logs("select event_id, severity from logs"))
 def severity_int(spark, sf_dir):
     severity = parse.severity_int(F.col("Severity")).alias("severity")

@@ -1,5 +1,7 @@
 """Model rows, models and their evaluation."""
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -10,9 +12,9 @@ from faultline import fixed_values as fixed
 from faultline.operators import aggregates, evaluation, sampling, sets, sorting
 from faultline.operators.filters import filter_class
 from faultline.plans import learning
-
-# Fewer rounds than the default of 300, to keep a check short.
-GBT_ROUNDS = 20
+from faultline.session import shared_folder
+from faultline.sinks import models
+from faultline.sinks.models import read_model
 
 CTES = {
     "flagged": t.FLAGGED_SQL,
@@ -119,50 +121,175 @@ def standard_scale(spark, sf_dir):
     return scaled.select("host", "feature_window_start", *columns)
 
 
-# --- Models: no SQL form ----------------------------------------------------------
-@query()
+# --- Models: the SQL form states what a right model must satisfy --------------------
+@t.once
+def lr_model(spark, sf_dir, path):
+    models.sink_model(learning.train_lr(learning.training_tables(features(spark, sf_dir))[0]), path)
+
+
+@t.once
+def gbt_model(spark, sf_dir, path):
+    models.sink_model(learning.train_gbt(learning.training_tables(features(spark, sf_dir))[0]), path)
+
+
+def scaled_for(model, rows):
+    """The columns that the regression sees, as x0, x1 and so on, and its linear value."""
+    *_, regression = model.stages
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    values = vector_to_array("features")
+    parts = [values.getItem(i) for i in range(len(fixed.MODEL_FEATURES))]
+    linear = F.lit(float(regression.intercept))
+    for part, coefficient in zip(parts, regression.coefficients.toArray()):
+        linear = linear + part * float(coefficient)
+    named = {f"x{i}": part for i, part in enumerate(parts)}
+    return rows.withColumns({**named, "linear": linear})
+
+
+def mean_gradient(spark, sf_dir, model):
+    """Slope of the penalised loss per row at the fitted weights: one row, intercept last."""
+    train, _ = learning.training_tables(features(spark, sf_dir))
+    rows = scaled_for(model, train)
+    wrong = 1 / (1 + F.exp(-F.col("linear"))) - F.col("label_next_hour")
+    slopes = [
+        ((F.sum(wrong * F.col(f"x{i}")) + float(w)) / F.count(F.lit(1))).alias(name)
+        for i, (name, w) in enumerate(
+            zip(fixed.MODEL_FEATURES, model.stages[-1].coefficients.toArray())
+        )
+    ]
+    return rows.agg(*slopes, F.avg(wrong).alias("intercept"))
+
+
+@query(
+    ml_sql(
+        "select host, feature_window_start, label_next_hour as label, 0.0::double as steepest "
+        "from split where split = 'test'"
+    )
+)
 def train_lr(spark, sf_dir):
-    train, test = learning.training_tables(features(spark, sf_dir))
-    return learning.score_model(learning.train_lr(train), test)
+    """At the minimum of the loss every slope is 0, which no other weights reach."""
+    _, test = learning.training_tables(features(spark, sf_dir))
+    model = read_model(lr_model(spark, sf_dir))
+    slopes = mean_gradient(spark, sf_dir, model)
+    steepest = slopes.select(F.round(F.greatest(*[F.abs(c) for c in slopes.columns]), 3)).scalar()
+    scores = learning.score_model(model, test)
+    return scores.select("host", "feature_window_start", "label", steepest.alias("steepest"))
 
 
-@query()
+@query(
+    ml_sql(
+        "select host, feature_window_start, label_next_hour as label, true as in_range, "
+        "true as above_constant from split where split = 'test'"
+    )
+)
 def train_gbt(spark, sf_dir):
+    """All rounds; on its own train rows the model ranks better than a constant score."""
     train, test = learning.training_tables(features(spark, sf_dir))
-    return learning.score_model(learning.train_gbt(train, rounds=GBT_ROUNDS), test)
+    model = read_model(gbt_model(spark, sf_dir))
+    area = evaluation.eval_roc_auc(learning.score_model(model, train)).scalar()
+    return learning.score_model(model, test).select(
+        "host", "feature_window_start", "label",
+        F.col("score").between(0, 1).alias("in_range"), (area > 0.5).alias("above_constant"),
+    )
 
 
-@query()
+@query(
+    ml_sql(
+        "select host, feature_window_start, label_next_hour as label, true as is_sigmoid "
+        "from split where split = 'test'"
+    )
+)
 def score_model(spark, sf_dir):
-    train, test = learning.training_tables(features(spark, sf_dir))
-    scores = learning.score_model(learning.train_lr(train, max_iter=50), test)
-    return scores.groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("score").alias("lowest"),
-        F.avg("score").alias("mean"),
-        F.max("score").alias("highest"),
+    _, test = learning.training_tables(features(spark, sf_dir))
+    model = read_model(lr_model(spark, sf_dir))
+    expected = scaled_for(model, test).select(
+        "host", "feature_window_start", (1 / (1 + F.exp(-F.col("linear")))).alias("expected")
     )
+    keys = ["host", "feature_window_start"]
+    close = F.abs(F.col("score") - F.col("expected")) < 1e-9
+    scores = learning.score_model(model, test).join(expected, keys)
+    return scores.select(*keys, "label", close.alias("is_sigmoid"))
 
 
-@query()
+FEATURE_LIST = ", ".join(f"'{name}'" for name in fixed.MODEL_FEATURES)
+
+
+@query(
+    f"select unnest([{FEATURE_LIST}]) as feature, true as is_share, 1.0::double as total"
+)
 def feature_importance(spark, sf_dir):
     train, _ = learning.training_tables(features(spark, sf_dir))
-    return learning.feature_importance(learning.train_gbt(train, rounds=5), train)
+    weights = learning.feature_importance(read_model(gbt_model(spark, sf_dir)), train)
+    return weights.select(
+        "feature",
+        F.col("weight").between(0, 1).alias("is_share"),
+        F.round(F.sum("weight").over(Window.partitionBy()), 6).alias("total"),
+    )
 
 
-@query()
+@query(f"select unnest([{FEATURE_LIST}]) as feature, 0.0::double as slope")
 def lr_coefficients(spark, sf_dir):
+    """Each coefficient is right if the loss is flat along it."""
     train, _ = learning.training_tables(features(spark, sf_dir))
-    return learning.lr_coefficients(learning.train_lr(train), train)
+    model = read_model(lr_model(spark, sf_dir))
+    slopes = mean_gradient(spark, sf_dir, model).drop("intercept")
+    slopes = slopes.unpivot([], list(slopes.columns), "feature", "slope")
+    found = learning.lr_coefficients(model, train).join(slopes, "feature")
+    return found.select("feature", F.abs(F.round("slope", 3)).alias("slope"))
 
 
-@query()
+@query(
+    "with weights as (select user_id::varchar as feature, round(sum(value), 6) as weight "
+    "from events group by 1), ranked as (select *, "
+    "row_number() over (order by weight desc, feature) as top, "
+    "row_number() over (order by weight, feature) as bottom from weights) "
+    "select feature, weight, 'top' as \"end\" from ranked where top <= 10 union all "
+    "select feature, weight, 'bottom' from ranked where bottom <= 10"
+)
 def topk_features(spark, sf_dir):
+    events = t.read(spark, sf_dir, "events")
+    weights = events.groupBy(F.col("user_id").cast("string").alias("feature")).agg(
+        F.round(F.sum("value"), 6).alias("weight")
+    )
+    top = sorting.topk_features(weights, 10).withColumn("end", F.lit("top"))
+    bottom = sorting.topk_features(weights, 10, largest=False).withColumn("end", F.lit("bottom"))
+    return top.unionByName(bottom)
+
+
+@query(
+    ml_sql(
+        "select host, feature_window_start, label_next_hour as label from split "
+        "where split = 'test'"
+    )
+)
+def sink_model(spark, sf_dir):
+    """Saved and read back, a model scores every row as before."""
+    _, test = learning.training_tables(features(spark, sf_dir))
+    model = read_model(lr_model(spark, sf_dir))
+    path = shared_folder(spark, "model")
+    models.sink_model(model, path)
+    keys = ["host", "feature_window_start", "label"]
+    before = learning.score_model(model, test)
+    again = learning.score_model(read_model(path), test)
+    return before.join(again, [*keys, "score"]).select(*keys)
+
+
+@query(
+    ml_sql(
+        "select 'train' as part, count(*) as rows, sum(label_next_hour)::bigint as positives, "
+        "round(max(case when label_next_hour = 1 then (select count(*) - sum(label_next_hour) "
+        "from sampled) / (select sum(label_next_hour) from sampled) else 1.0 end), 6) as heaviest "
+        "from sampled"
+    )
+)
+def class_weights(spark, sf_dir):
+    """Classes of the sampled train rows and the weight of a positive one."""
     train, _ = learning.training_tables(features(spark, sf_dir))
-    weights = learning.lr_coefficients(learning.train_lr(train), train)
-    top = sorting.topk_features(weights, 3).withColumn("end", F.lit("top"))
-    return top.unionByName(
-        sorting.topk_features(weights, 3, largest=False).withColumn("end", F.lit("bottom"))
+    return learning.class_weights(train).agg(
+        F.lit("train").alias("part"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("label_next_hour").cast("bigint")).alias("positives"),
+        F.max("class_weight").alias("heaviest"),
     )
 
 

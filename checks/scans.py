@@ -34,9 +34,16 @@ def raw_columns(raw):
     )
 
 
-@query(t.with_logs(f"select {RAW_COLUMNS} from logs", 15))
+@query(
+    t.with_logs(
+        f"select {RAW_COLUMNS} from logs where timestamp >= timestamp '2024-01-20' "
+        "and timestamp < timestamp '2024-02-06'",
+        15,
+    )
+)
 def scan_logs_range(spark, sf_dir):
-    return raw_columns(sources.scan_logs_range(spark, t.raw_table(spark, sf_dir), "20240116", "20240229"))
+    """The range leaves out days on both sides."""
+    return raw_columns(sources.scan_logs_range(spark, t.raw_table(spark, sf_dir), "20240120", "20240205"))
 
 
 @query(t.with_logs("select timestamp, host, msg from logs where false"))
@@ -140,7 +147,7 @@ def sink_typed_logs(spark, sf_dir):
 )
 def sink_features_month(spark, sf_dir):
     path = shared_folder(spark, "features")
-    sinks.sink_features_month(feature_dataset(t.typed(spark, sf_dir), 2024, 1, 1800), path, files=2)
+    sinks.sink_features_month(feature_dataset(t.typed(spark, sf_dir), 2024, 1, 1800), path)
     return spark.read.schema(FEATURES).parquet(path)
 
 
@@ -154,3 +161,14 @@ def sink_results_json(spark, sf_dir):
     path = shared_folder(spark, "results")
     result_sinks.sink_results_json(mtbf(t.errors(spark, sf_dir)), path)
     return result_sources.scan_results_json(spark, path)
+
+
+@query(
+    t.with_logs(
+        "select host, count(*) as errors from errors group by host", errors=t.ERRORS_SQL
+    )
+)
+def sink_to_driver(spark, sf_dir):
+    """A report goes to the driver whole, and from there back to Spark."""
+    report = t.errors(spark, sf_dir).groupBy("host").agg(F.count(F.lit(1)).alias("errors"))
+    return spark.createDataFrame(result_sinks.sink_to_driver(report), report.schema)

@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline import fixed_values as fixed
 from faultline.operators.filters import filter_host_prefixes, filter_memory_errors
 from faultline.plans.collect import collect_memory_errors, collect_typed_logs
 from faultline.plans.features import feature_dataset_periods
@@ -36,7 +37,16 @@ select event_id,
          || '_Chan#' || (event_id%4) || '_DIMM#' || (event_id%3)
          || ' (channel:' || (event_id%4) || ' slot:' || (event_id%3)
          || ' page:0x' || lower(hex(event_id))
-         || ' offset:0x1c0 grain:32 syndrome:0x0 err_code:0x0101:0x009' || (event_id%3) || ')'
+         || ' offset:0x1c0 grain:32 syndrome:0x0 err_code:0x0101:0x009' || (event_id%3)
+         || (case when event_id%4=0 then '' else
+            ' SystemAddress:0x1' || lower(hex(event_id*64))
+            || ' ProcessorSocketId:0x' || (user_id%2) || ' MemoryControllerId:0x' || (event_id%2)
+            || ' ChannelAddress:0x2' || lower(hex(event_id*32)) || ' ChannelId:0x' || (event_id%4)
+            || ' RankAddress:0x3' || lower(hex(event_id*16)) || ' PhysicalRankId:0x' || (event_id%5)
+            || ' DimmSlotId:0x' || (event_id%3) || ' Row:0x' || lower(hex(event_id%4096))
+            || ' Column:0x' || lower(hex(event_id%1024)) || ' Bank:0x' || (event_id%8)
+            || ' BankGroup:0x' || (event_id%6) || ' ChipSelect:0x' || (event_id%7)
+            || ' ChipId:0x' || (event_id%9) end) || ')'
        when event_type='signup' then 'kernel: EDAC sbridge HANDLING MCE MEMORY ERROR'
        else 'sshd session ' || event_type end as msg
 from {events}
@@ -47,18 +57,18 @@ select *, cast(year(timestamp) as string) as year,
   lpad(cast(day(timestamp) as string),2,'0') as day
 from {logs}
 """
+# Shifts that together give December 2023, January 2024 and March 2024.
+QUARTER = (-31, 0, 60)
+Shift = int | tuple[int, ...]
 # Months and years of logs, from the orders table. A made-up message marks the errors.
 LONG_ERROR = "kernel: EDAC MC0: 1 CE memory read error on CPU_SrcID#0_Ha#0_Chan#1_DIMM#0 (slot:0)"
 
-HOST_FILTER = (
-    "(host like 'login%' or host like 'c20%' or host like 'c21%' or host like 'hsm212%' "
-    "or host like 'osshsm213%' or host like 'oss21%')"
-)
-ERROR_FILTER = "upper(msg) like '% EDAC %' and lower(msg) like '%memory%error%'"
-NOISE_FILTER = "msg not like '%HANDLING MCE MEMORY ERROR%'"
-CLASS_PATTERN = (
-    r".*?(\bCE\b|\bUE\b|\bSBE\b|\bDBE\b).*?CPU_SrcID#(\d+?)_(?:MC|Ha)#(\d+?)_Chan#(\d+?)_DIMM#(\d+?).*"
+HOST_FILTER = f"({' or '.join(f"host like '{prefix}%'" for prefix in fixed.HOST_PREFIXES)})"
+ERROR_FILTER = (
+    f"upper(msg) like '{fixed.UPPER_MESSAGE_LIKE}' and lower(msg) like '{fixed.LOWER_MESSAGE_LIKE}'"
 )
+NOISE_FILTER = f"msg not like '{fixed.NOISE_MESSAGE_LIKE}'"
+CLASS_PATTERN = fixed.ERROR_CLASS_PATTERN
 
 
 # --- Spark forms ------------------------------------------------------------------
@@ -76,13 +86,14 @@ def derived_logs(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     )
 
 
-def logs(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, shift: Shift = 0) -> DataFrame:
     """The derived logs, stored by day like a log table."""
-    path = (log_table if shift == 0 else shifted_log_table)(spark, sf_dir)
+    table = {0: log_table, 15: shifted_log_table, QUARTER: quarter_log_table}[shift]
+    path = table(spark, sf_dir)
     return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
-def errors(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+def errors(spark: SparkSession, sf_dir: str, shift: Shift = 0) -> DataFrame:
     return filter_memory_errors(filter_host_prefixes(logs(spark, sf_dir, shift)))
 
 
@@ -106,7 +117,7 @@ def raw_logs(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     )
 
 
-def typed(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+def typed(spark: SparkSession, sf_dir: str, shift: Shift = 0) -> DataFrame:
     """Typed logs as the feature job reads them."""
     return logs(spark, sf_dir, shift).select(
         "event_id",
@@ -182,6 +193,12 @@ def shifted_log_table(spark: SparkSession, sf_dir: str, path: str) -> None:
     write_by_day(derived_logs(spark, sf_dir, 15), path)
 
 
+@once
+def quarter_log_table(spark: SparkSession, sf_dir: str, path: str) -> None:
+    months = [derived_logs(spark, sf_dir, shift) for shift in QUARTER]
+    write_by_day(months[0].unionByName(months[1]).unionByName(months[2]), path)
+
+
 @once
 def raw_table(spark: SparkSession, sf_dir: str, path: str) -> None:
     write_by_day(raw_logs(spark, sf_dir, 15), path)
@@ -219,8 +236,9 @@ def result_table(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 
 # --- SQL forms --------------------------------------------------------------------
-def logs_sql(shift: int = 0) -> str:
-    return f"logs as ({sql_of(LOGS, shift)})"
+def logs_sql(shift: Shift = 0) -> str:
+    shifts = shift if isinstance(shift, tuple) else (shift,)
+    return f"logs as ({' union all '.join(sql_of(LOGS, each) for each in shifts)})"
 
 
 def sql_of(text: str, shift: int) -> str:
@@ -228,17 +246,17 @@ def sql_of(text: str, shift: int) -> str:
     return DATED.replace("{logs}", f"({inner})")
 
 
-def with_logs(query: str, shift: int = 0, **ctes: str) -> str:
+def with_logs(query: str, shift: Shift = 0, **ctes: str) -> str:
     parts = [logs_sql(shift)] + [f"{name} as ({text})" for name, text in ctes.items()]
     return f"with {', '.join(parts)} {query}"
 
 
 ERRORS_SQL = f"select * from logs where {HOST_FILTER} and {ERROR_FILTER}"
 CLEAN_SQL = (
-    "select *, trim(regexp_extract(msg, 'on\\s+(.*?)\\(', 1)) as cpu_info, "
-    "regexp_extract(msg, 'err_code:(0x[0-9a-f]+:0x[0-9a-f]+)', 1) as err_code, "
-    "regexp_extract(regexp_extract(msg, '(\\d+\\s+[A-Z]+\\s+memory\\s+\\w+\\s+error)', 1), "
-    f"'(\\d+)', 1) as number_ce_error from errors where {NOISE_FILTER}"
+    f"select *, trim(regexp_extract(msg, '{fixed.ERROR_FIELD_PATTERNS['cpu_info']}', 1)) as cpu_info, "
+    f"regexp_extract(msg, '{fixed.ERROR_FIELD_PATTERNS['err_code']}', 1) as err_code, "
+    f"regexp_extract(regexp_extract(msg, '{fixed.ERROR_FIELD_PATTERNS['ce_error']}', 1), "
+    f"'{fixed.CE_COUNT_PATTERN}', 1) as number_ce_error from errors where {NOISE_FILTER}"
 )
 FLAGGED_SQL = (
     "select event_id, case when host is null or trim(host)='' then 'UNKNOWN_HOST' else host end "

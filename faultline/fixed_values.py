@@ -67,7 +67,6 @@ PERCENTILE_LABELS = {
 }
 RESULT_MTBF_KEY = "mbtf"
 RESULT_MTBF_KEY_ALTERNATIVE = "mtbf"
-RESULT_FILE_PATTERN = "fichero_resultados_*.json"
 
 # --- Calendar profiles ------------------------------------------------------------
 WEEKDAY_NUMBERS = (2, 3, 4, 5, 6)  # Sunday is 1

@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WINDOW_SIZE = re.compile(r"\s*0*([1-9][0-9]*)\s+(?:(minutes?|mins?)|hours?)\s*")
+
+
 def parse_window_size(text: str) -> int:
-    """'30 minutes', '1 hour' and the like to seconds."""
-    number, unit = text.split()
-    for prefix, seconds in (("min", 60), ("hour", 3600)):
-        if unit.startswith(prefix):
-            return int(number) * seconds
-    raise ValueError(f"unsupported window size: {text!r}")
+    """'30 minutes', '1 hour' and the like to seconds; sizes below 1 are errors."""
+    size = WINDOW_SIZE.fullmatch(text)
+    if size is None:
+        raise ValueError(f"a positive number of minutes or hours is needed, not {text!r}")
+    return int(size[1]) * (60 if size[2] else 3600)
+
+
+def bucket_seconds(timestamp: Column | str, seconds: int) -> Column:
+    """Epoch seconds at which the epoch-aligned bucket starts; NULL stays NULL."""
+    second = F.unix_seconds(F.col(timestamp) if isinstance(timestamp, str) else timestamp)
+    return second - F.pmod(second, F.lit(seconds).cast("bigint"))
 
 
 def time_bucket(timestamp: Column | str, seconds: int) -> Column:
-    """Start of the epoch-aligned bucket. At most one size per select."""
-    return F.window(timestamp, f"{seconds} seconds").getField("start")
+    """Start of the epoch-aligned bucket; NULL stays NULL."""
+    return F.timestamp_seconds(bucket_seconds(timestamp, seconds))
 
 
 def windows_ending_before(bucket: Column, bucket_seconds: int, window: int, span: int) -> Column:

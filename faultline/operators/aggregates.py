@@ -112,7 +112,7 @@ def agg_bursts(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grouped.groupBy(*keys).agg(
         F.min("timestamp").alias("min_timestamp"),
         F.count("err_code").alias("count"),
-        F.sum(F.col("number_ce_error").try_cast("int")).cast("int").alias("number_ce_error"),
+        F.sum(F.col("number_ce_error").try_cast("bigint")).alias("number_ce_error"),
     )
 
 

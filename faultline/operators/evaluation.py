@@ -180,23 +180,27 @@ def eval_threshold_curve(
         + F.when(score >= (guess + 1) * step, 1).otherwise(0)
         - F.when(score < guess * step, 1).otherwise(0)
     )
-    counts = scored.groupBy(F.least(reached, F.lit(top)).alias("id")).agg(
+    # Scores below 0 reach no threshold, but their positives count in the total.
+    counts = scored.groupBy(
+        F.greatest(F.least(F.coalesce(reached, F.lit(-1)), F.lit(top)), F.lit(-1)).alias("id")
+    ).agg(
         F.count_if(F.col("label") == 1).alias("positives"),
         F.count_if(F.col("label") == 0).alias("negatives"),
     )
-    all_positives = scored.agg(F.count_if(F.col("label") == 1)).scalar()
-    from_top = Window.orderBy(F.desc("id"))
-    zero = F.lit(0)
-    curve = (
-        scored.sparkSession.range(points)
-        .join(counts, "id", "left")
-        .select(
-            "id",
-            F.sum(F.coalesce("positives", zero)).over(from_top).alias("tp"),
-            F.sum(F.coalesce("negatives", zero)).over(from_top).alias("fp"),
-            all_positives.alias("p"),
-        )
+    zero = F.lit(0).cast("bigint")
+    empty = scored.sparkSession.range(points).select(
+        "id", zero.alias("positives"), zero.alias("negatives")
     )
+    per_point = counts.unionByName(empty).groupBy("id").agg(
+        F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives")
+    )
+    from_top = Window.orderBy(F.desc("id"))
+    curve = per_point.select(
+        "id",
+        F.sum("positives").over(from_top).alias("tp"),
+        F.sum("negatives").over(from_top).alias("fp"),
+        F.sum("positives").over(Window.partitionBy()).alias("p"),
+    ).where("id >= 0")
     tp, smoothing = F.col("tp"), F.lit(fixed.SMOOTHING)
     return curve.select(
         (F.col("id") * step).alias("threshold"),

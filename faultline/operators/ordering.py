@@ -63,8 +63,9 @@ def running_over_chunks(
             *carried,
         )
     )
-    same_chunk = F.col("_chunk") == F.col("_carried_chunk")
-    for key in keys:  # NULL is a key value like any other
+    # NULL is a key and a chunk like any other.
+    same_chunk = F.col("_chunk").eqNullSafe(F.col("_carried_chunk"))
+    for key in keys:
         same_chunk &= F.col(key).eqNullSafe(F.col(f"_{key}"))
     kept = [name for name in slots.columns if name != "_chunk"]
     return slots.select("*", *inner).join(chunks, same_chunk).select(*kept, *added)
@@ -79,12 +80,15 @@ def number_rows(
 ) -> DataFrame:
     """Adds ``row_number`` and ``prev_timestamp`` per key, in time order.
 
-    Equal timestamps are ordered by ``spread``, a small bucket number that splits even a
-    single crowded second, and then by the ``tie`` columns. Slots join their rows through
+    Rows without a timestamp come first. Equal timestamps are ordered by ``spread``, a small
+    bucket number that splits even a single crowded second, and then by the ``tie`` columns.
+    By default it is a hash of every column that can be hashed, so only rows that are equal
+    throughout share a slot. Slots join their rows through
     a union, so the rows are shuffled once and NULL keys need no special case.
     """
     if spread is None:
-        spread = F.pmod(F.xxhash64(*tie), F.lit(64))
+        hashed = [f"`{f.name}`" for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+        spread = F.pmod(F.xxhash64(*hashed), F.lit(64))
     rows = rows.withColumn("_spread", spread)
     slot = [*keys, timestamp, "_spread"]
 
@@ -190,7 +194,7 @@ def burst_ids(
         *[F.col(name).alias(f"_{name}") for name in slot],
         (F.col("_flags_before") + F.col("_flags")).alias("group_id"),
     )
-    same_slot = F.col(timestamp) == F.col(f"_{timestamp}")
+    same_slot = F.col(timestamp).eqNullSafe(F.col(f"_{timestamp}"))
     for key in keys:
         same_slot &= F.col(key).eqNullSafe(F.col(f"_{key}"))
     return gaps.join(groups, same_slot).select(*gaps.columns, "group_id")

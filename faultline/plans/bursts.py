@@ -26,7 +26,7 @@ def error_rows(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
         *dict.fromkeys(["timestamp", *tie]),
         # An extracted field is NULL only where the message is, so none is extracted here.
         msg.isNotNull().cast("int").alias("_messages"),
-        number_ce_error(msg).try_cast("int").alias("_ce"),
+        number_ce_error(msg).try_cast("bigint").alias("_ce"),
     )
 
 
@@ -38,19 +38,22 @@ def second_counts(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
     """
     rows = error_rows(errors, tie)
     zero = F.lit(0).cast("bigint")
+    head = F.struct("_messages", "_ce")
     counts = written_table(
         rows.groupBy("timestamp").agg(
             F.count(F.lit(1)).alias("rows"),
             F.sum("_messages").alias("messages"),
             F.coalesce(F.sum("_ce"), zero).alias("ce"),
             F.count("_ce").alias("ce_rows"),
+            # What each second's first row holds: one of these seconds is the first of all.
+            F.min_by(head, F.struct(*tie, "_messages", "_ce")).alias("head"),
         ),
         "second-counts",
     )
-    # As a number, the first second becomes a literal that the scan can skip files with.
-    first = counts.agg(F.unix_micros(F.min("timestamp"))).first()[0]
+    first, dropped = counts.agg(
+        F.unix_micros(F.min("timestamp")), F.min_by("head", "timestamp")
+    ).first()
     is_first = F.col("timestamp") == F.timestamp_micros(F.lit(first).cast("bigint"))
-    dropped = rows.where(is_first).orderBy(*tie).select("_messages", "_ce").first()
     messages, ce = dropped if dropped else (0, None)
     less = {"rows": 1, "messages": messages, "ce": ce or 0, "ce_rows": int(ce is not None)}
     # The emptied first second stays in the table: the next second's gap starts there.
@@ -95,7 +98,7 @@ def burst_table(
 ) -> DataFrame:
     """Per burst: start, sum of the error numbers (NULL without any), number of rows."""
     seconds = second_counts(errors, tie)
-    ce: Column = F.when(F.sum("ce_rows") > 0, F.sum("ce")).cast("int")
+    ce: Column = F.when(F.sum("ce_rows") > 0, F.sum("ce"))
     return (
         second_bursts(seconds, threshold)
         .groupBy("group_id")

@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from faultline import fixed_values as fixed
 from faultline.functions.parse import classify_error, error_flag, host_or_unknown, severity_int
 from faultline.functions.times import (
+    bucket_seconds,
     in_time_range,
     month_after,
-    time_bucket,
     windows_ending_before,
 )
 from faultline.operators.aggregates import merged_features, partial_features
 from faultline.operators.columns import error_ratio
+from faultline.session import require_utc
 from faultline.sources.tables import Month, months_with_lookahead
 
 HOUR = fixed.LOOKAHEAD_SECONDS
@@ -82,7 +83,8 @@ def window_features(
         raise ValueError(f"mode must be one of {MODES}")
     size = gcd(HOUR, *windows)
     buckets = (
-        flagged.withColumn("bucket", F.unix_seconds(time_bucket("timestamp", size)))
+        flagged.where(F.col("timestamp").isNotNull())  # such rows belong to no window
+        .withColumn("bucket", bucket_seconds("timestamp", size))
         .groupBy("host", "bucket")
         .agg(*partial_features())
     )
@@ -144,6 +146,7 @@ def feature_dataset_periods(
 
     ``typed`` is a typed log table with its partition columns.
     """
+    require_utc(typed.sparkSession)
     logs = months_with_lookahead(typed, first, last, max(windows))
     year, month = month_after(*last)
     start = F.col("feature_window_start")

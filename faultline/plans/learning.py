@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from faultline import fixed_values as fixed
 from faultline.functions.calendars import time_features
 from faultline.operators.columns import drop_if_present, log_intensity
 from faultline.operators.sampling import LABEL, downsample_negatives, temporal_split
+from faultline.session import require_utc, shared_folder
 from faultline.sinks.tables import written_table
 
 
@@ -26,6 +28,7 @@ def ml_prepare(
     ``fit_on`` limits the mean log count to, say, train rows. The host is needed to split
     and sample; models do not use it.
     """
+    require_utc(features.sparkSession)
     rows = drop_if_present(features, *fixed.LEAK_COLUMNS)
     rows = rows.select("*", *time_features(F.col("feature_window_start")))
     rows = log_intensity(rows, fit_on)
@@ -70,30 +73,54 @@ def assembler(columns: Sequence[str], output: str, invalid: str) -> VectorAssemb
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid=invalid)
 
 
+def class_weights(train: DataFrame, column: str = "class_weight") -> DataFrame:
+    """Train rows with a weight: negatives per positive for positives, 1 for negatives.
+
+    Both classes then weigh the same. With one class only, all weights are 1.
+    """
+    counts = train.agg(
+        F.count_if(F.col(LABEL) == 0).alias("n"), F.count_if(F.col(LABEL) == 1).alias("p")
+    ).first()
+    ratio = counts["n"] / counts["p"] if counts["n"] and counts["p"] else 1.0
+    return train.withColumn(column, F.when(F.col(LABEL) == 1, ratio).otherwise(1.0))
+
+
 def train_lr(
     train: DataFrame,
     columns: Sequence[str] = fixed.MODEL_FEATURES,
     max_iter: int = 1000,
     inverse_regularization: float = 1.0,
+    weight: str | None = None,
 ) -> PipelineModel:
-    """Logistic regression on scaled columns; the scaler is part of the model.
+    """Logistic regression on columns scaled as by ``standard_scale``; the scaling is part of
+    the model.
 
-    The penalty is that of a loss summed over rows, hence the row count.
+    The penalty is that of a loss summed over rows, hence the row count. ``weight`` names a
+    column of row weights, as ``class_weights`` adds one.
     """
-    rows = train.count()
+    total = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
+    rows, mass = train.agg(F.count(F.lit(1)), total).first()
+    # The scaler divides by the sample deviation; this turns it into the population's.
+    to_population = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
     return Pipeline(
         stages=[
             assembler(columns, "raw_features", "error"),
             StandardScaler(
-                inputCol="raw_features", outputCol="features", withMean=True, withStd=True
+                inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True
+            ),
+            ElementwiseProduct(
+                inputCol="sample_scaled",
+                outputCol="features",
+                scalingVec=Vectors.dense([to_population] * len(columns)),
             ),
             LogisticRegression(
                 featuresCol="features",
                 labelCol=LABEL,
                 maxIter=max_iter,
                 elasticNetParam=0.0,
-                regParam=1.0 / (inverse_regularization * max(rows, 1)),
+                regParam=1.0 / (inverse_regularization * (mass or 1.0)),
                 standardization=False,
+                **({"weightCol": weight} if weight else {}),
             ),
         ]
     ).fit(train)
@@ -107,8 +134,16 @@ def train_gbt(
     rate: float = 0.1,
     sample: float = 0.8,
     seed: int = fixed.SEED,
+    weight: str | None = None,
 ) -> PipelineModel:
-    """Boosted trees with log loss and row and column sampling."""
+    """Boosted trees with log loss and row and column sampling.
+
+    Rounds build on each other; every tenth is checkpointed in the shared folder, so that
+    the lineage stays short and a lost executor costs ten rounds at most.
+    """
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(train.sparkSession, "boosting"))
     return Pipeline(
         stages=[
             assembler(columns, "features", "keep"),
@@ -120,7 +155,10 @@ def train_gbt(
                 stepSize=rate,
                 subsamplingRate=sample,
                 featureSubsetStrategy=str(sample),
+                cacheNodeIds=True,
+                checkpointInterval=10,
                 seed=seed,
+                **({"weightCol": weight} if weight else {}),
             ),
         ]
     ).fit(train)

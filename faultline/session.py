@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +46,33 @@ def require_settings(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Raises in a session whose hours and months are not those of UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"the job needs spark.sql.session.timeZone UTC, the session has {zone}")
+
+
+_open_folders: ContextVar[list[str] | None] = ContextVar("open_folders", default=None)
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that jobs store for themselves inside are deleted at the end.
+
+    Results of these jobs must be written or collected inside, as they read those tables.
+    """
+    folders: list[str] = []
+    token = _open_folders.set(folders)
+    try:
+        yield
+    finally:
+        _open_folders.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new, unused path below the folder that every executor can reach.
 
@@ -53,4 +83,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="faultline-")
-    return f"{root.rstrip('/')}/faultline/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/faultline/{name}-{uuid.uuid4().hex}"
+    folders = _open_folders.get()
+    if folders is not None:
+        folders.append(path)
+    return path

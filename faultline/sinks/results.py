@@ -10,11 +10,19 @@ from faultline import fixed_values as fixed
 from faultline.functions.times import parse_period
 
 
-def result_documents(results: DataFrame, shards: int = 16) -> DataFrame:
+HOSTS_PER_DOCUMENT = 500
+
+
+def result_documents(
+    results: DataFrame, hosts_per_document: int = HOSTS_PER_DOCUMENT
+) -> DataFrame:
     """MTBF rows as JSON documents of nested maps, one per period and shard of hosts.
 
-    Shards keep a document small however many hosts there are; a reader merges them.
+    Hosts are counted first, and there are as many shards as keep a document at about
+    ``hosts_per_document``, however many hosts there are; a reader merges them.
     """
+    hosts = results.select(F.coalesce("host", F.lit("null"))).distinct().count()
+    shards = max(1, -(-hosts // hosts_per_document))
     value = F.struct(
         "count_before", "count_after", F.col("mtbf_seconds").alias(fixed.RESULT_MTBF_KEY)
     )
@@ -30,10 +38,12 @@ def result_documents(results: DataFrame, shards: int = 16) -> DataFrame:
     return by_shard.select("period", "shard", document.alias("value"))
 
 
-def sink_results_json(results: DataFrame, path: str, shards: int = 16) -> None:
+def sink_results_json(
+    results: DataFrame, path: str, hosts_per_document: int = HOSTS_PER_DOCUMENT
+) -> None:
     """One folder per period, one document per file; the periods written are replaced."""
     (
-        result_documents(results, shards)
+        result_documents(results, hosts_per_document)
         .select("value", "period", "shard")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -42,6 +52,9 @@ def sink_results_json(results: DataFrame, path: str, shards: int = 16) -> None:
     )
 
 
-def sink_to_driver(table: DataFrame, max_rows: int = 1000) -> pd.DataFrame:
-    """At most ``max_rows`` rows of a report for display."""
-    return table.limit(max_rows).toPandas()
+def sink_to_driver(table: DataFrame, max_rows: int = 1_000_000) -> pd.DataFrame:
+    """A report as a whole; an error if it has more than ``max_rows`` rows."""
+    rows = table.limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
+        raise ValueError(f"the table has more than {max_rows} rows; write it to a table instead")
+    return rows

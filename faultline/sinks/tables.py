@@ -58,7 +58,10 @@ def sink_features_month(features: DataFrame, path: str, files: int | None = None
 
 
 def written_table(table: DataFrame, name: str) -> DataFrame:
-    """The table, stored once in the shared folder and read back.
+    """The table, stored at once in the shared folder and read back.
+
+    The write is a job that runs when this is called. ``session.work_tables`` deletes such
+    tables when the job that uses them is over.
 
     For a small table that several later steps use: its input is then read once, and a
     lost executor costs a read of files instead of a recomputation.

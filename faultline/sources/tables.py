@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 
 from pyspark.errors import AnalysisException
@@ -19,11 +20,20 @@ Month = tuple[int, int]
 
 
 def read_table(spark: SparkSession, source: str, schema: StructType | None = None) -> DataFrame:
-    """A metastore table by name, or Parquet by path."""
+    """A metastore table by name, or Parquet by path.
+
+    A given schema would read a column that the files do not have as NULL, so their own
+    schema is looked at first; a column that is missing there is an error.
+    """
     if "/" not in source:
         return spark.table(source)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(source)
+    if schema is None:
+        return spark.read.parquet(source)
+    stored = {name.lower() for name in spark.read.parquet(source).columns}
+    missing = [name for name in schema.names if name.lower() not in stored]
+    if missing:
+        raise ValueError(f"{source} has no column {', '.join(missing)}")
+    return spark.read.schema(schema).parquet(source)
 
 
 def partition_date() -> Column:
@@ -71,6 +81,11 @@ def scan_optional(
         raise
 
 
+def instant(utc: dt.datetime) -> Column:
+    """A literal timestamp that does not depend on the time zone of the driver's machine."""
+    return F.timestamp_seconds(F.lit(calendar.timegm(utc.timetuple())))
+
+
 def months_with_lookahead(
     logs: DataFrame, first: Month, last: Month, window_seconds: int
 ) -> DataFrame:
@@ -87,7 +102,7 @@ def months_with_lookahead(
     return (
         logs.where(F.col("year").between(f"{begin.year:04d}", f"{overlap_end.year:04d}"))
         .where(days.between(F.lit(begin), F.lit(overlap_end.date())))
-        .where(before_end | (F.col("timestamp") < F.lit(overlap_end)))
+        .where(before_end | (F.col("timestamp") < instant(overlap_end)))
     )
 
 

@@ -113,7 +113,7 @@ def test_logistic_regression_finds_the_minimum(tables):
     model = learning.train_lr(train)
     rows = train.select(*fixed.MODEL_FEATURES, "label_next_hour").toPandas()
     matrix = rows[list(fixed.MODEL_FEATURES)].to_numpy(float)
-    spread = matrix.std(axis=0, ddof=1)
+    spread = matrix.std(axis=0, ddof=0)
     scaled = (matrix - matrix.mean(axis=0)) / np.where(spread == 0, 1, spread)
     expected = newton(scaled, rows["label_next_hour"].to_numpy(float))
     found = model.stages[-1]
@@ -142,3 +142,22 @@ def test_models_predict_and_reload(spark, tables, tmp_path, kind):
         rows = learning.feature_importance(model, train).collect()
         assert sum(r.weight for r in rows) == pytest.approx(1) and len(rows) == 10
         assert rows[0].feature in ("num_errors", "error_ratio")
+
+
+def test_class_weights_balance_and_count(spark):
+    rows = spark.createDataFrame([(1,)] * 2 + [(0,)] * 6, "label_next_hour int")
+    weighed = learning.class_weights(rows)
+    totals = {r[0]: r[1] for r in weighed.groupBy("label_next_hour").sum("class_weight").collect()}
+    assert totals == {1: 6.0, 0: 6.0}
+    one_class = learning.class_weights(rows.where("label_next_hour = 0"))
+    assert {r.class_weight for r in one_class.collect()} == {1.0}
+
+
+def test_weights_move_the_scores(tables):
+    train, test = tables
+    plain = learning.score_model(learning.train_lr(train), test)
+    weighed = learning.train_lr(learning.class_weights(train), weight="class_weight")
+    mean = [s.agg({"score": "avg"}).first()[0] for s in (plain, learning.score_model(weighed, test))]
+    positives = train.where("label_next_hour = 1").count()
+    if positives * 2 < train.count():
+        assert mean[1] > mean[0]

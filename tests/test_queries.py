@@ -3,27 +3,23 @@
 import pytest
 
 import __spark_entry__ as spark_entry
+from checks import registry
 from checks.compare import compare, open_database
 
 SMALL = "/root/testdata/sf0.001"
-WITHOUT_SQL = {
-    "train_lr", "train_gbt", "score_model", "feature_importance", "lr_coefficients",
-    "topk_features",
-}
-
-
 @pytest.fixture(scope="module")
 def database():
     return open_database(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_equals_sql(spark, database, name):
     compare(spark, database, SMALL, name)
 
 
-def test_only_models_have_no_sql():
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == WITHOUT_SQL
+def test_all_have_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(spark_entry.queries())
 
 
 def test_entry(spark):

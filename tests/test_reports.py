@@ -58,12 +58,12 @@ def test_results_round_trip_and_other_writers(spark, tmp_path):
     columns = "period string, host string, percentile string, count_before bigint, count_after bigint, mtbf_seconds double"
     results = spark.createDataFrame(rows, columns)
     path = str(tmp_path / "results")
-    sink_results_json(results, path, shards=2)
-    sink_results_json(results.where("period = '202212'"), path, shards=2)
+    sink_results_json(results, path, hosts_per_document=1)
+    sink_results_json(results.where("period = '202212'"), path, hosts_per_document=1)
     read = [tuple(r) for r in scan_results_json(spark, path).collect()]
     assert len(read) == len(rows) and set(read) == set(rows)
 
-    documents = [json.loads(r.value) for r in result_documents(results, shards=1).collect()]
+    documents = [json.loads(r.value) for r in result_documents(results).collect()]
     merged = {key: value for document in documents for key, value in document.items()}
     assert set(merged) == {"20228", "202212"}
     assert merged["20228"]["c1"]["percentil_1"] == {
@@ -88,7 +88,9 @@ def test_reports(spark):
     first = reports.host_coverage(results).first()
     assert (first.host, first.percentile, first.size) == ("a", "50%", 3)
     assert first.periods == ["202201", "202202", "202203"]
-    assert len(sink_to_driver(results, 2)) == 2
+    assert len(sink_to_driver(results)) == len(sink_to_driver(results, 4)) == 4
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sink_to_driver(results, 2)
 
 
 def test_heatmap_has_every_day(spark):
