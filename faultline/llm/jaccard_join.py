@@ -9,11 +9,12 @@ Method
    candidate group; no pair of equal enough sets is missed and a shared passage alone does
    not make a group. Nodes of a group are tied to its least node, the hub; pairs are not
    listed.
-3. Each member is compared with its hub. Members that are not linked to it are compared
-   with the others of the group in blocks of bounded size: a hashed bitmap of each set
-   bounds the overlap from above by a bit count, and pairs that pass are decided by exact
-   intersection of sorted arrays. Pairs that are connected already are skipped, so a block
-   returns at most one link per node.
+3. A hashed bitmap of each set, a 32nd of its size, bounds overlaps from above by a bit
+   count. Each member is compared with its hub by bitmaps, and by exact intersection if that
+   does not settle it. Members outside the hub's component are compared with the others of the group
+   in tiles of bounded size, again by bitmaps first; only sets that then may link to another
+   component are sent whole and intersected as sorted arrays. Pairs that are connected
+   already are skipped, so a tile returns at most one link per set.
 4. Links form components; the name of a component is its least doc_id.
 
 Cases
@@ -159,7 +160,7 @@ def candidate_keys(documents: DataFrame, width: int, least_percent: int) -> Data
 
 
 def candidate_sets(documents: DataFrame, width: int) -> DataFrame:
-    """Rows (short, node, n, hashes) for the texts of (doc_id, text) rows."""
+    """Rows (short, node, n, hashes, bits) for texts; ``bits`` is the set's bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # repeated rows lie together after the join on ref
@@ -178,87 +179,133 @@ def candidate_sets(documents: DataFrame, width: int) -> DataFrame:
                     pa.array(nodes, pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     list_column(sets),
+                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                 ],
-                ["short", "node", "n", "hashes"],
+                ["short", "node", "n", "hashes", "bits"],
             )
 
     return documents.select("text").mapInArrow(
-        run, "short long, node binary, n long, hashes array<long>"
+        run, "short long, node binary, n long, hashes array<long>, bits binary"
     )
 
 
-def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap: bit i tells whether an odd number of hashes falls on i."""
-    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of at least two bits a hash: a bit is set if an odd number falls on it.
 
+    Bits of two sets differ at most as often as their hashes do.
+    """
+    size = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
 
-class Block:
-    """Links among sets of one block pair; connected sets are not compared again."""
 
-    def __init__(self, least_percent: int):
-        self.percent = least_percent
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap with fewer bits: halves are added, as the places of hashes would be."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(unlike, a, b, percent: int):
+    """Whether sets of sizes a and b can link if at least ``unlike`` of their hashes differ."""
+    most = (a + b - unlike) // 2
+    return 100 * most >= percent * (a + b - most)
+
+
+class Group:
+    """Sets of one tile in order of size. ``roots`` are numbers of known components; pairs
+    in one component, or on one side of a tile of two blocks, are not compared."""
+
+    def __init__(self, names, sizes, roots, sides, bits, percent: int):
+        self.order = np.lexsort((np.arange(len(names)), sizes))
+        self.names = [names[i] for i in self.order]
+        self.sizes = np.asarray(sizes)[self.order]
+        self.root = np.asarray(roots)[self.order].copy()
+        self.side = np.asarray(sides)[self.order]
+        self.two = len(set(sides)) > 1
+        words = min(len(b) for b in bits)
+        self.maps = np.stack([folded(bits[i], words) for i in self.order])
+        self.percent = percent
+
+    def rivals(self, i: int) -> np.ndarray:
+        """Larger sets that may link to set i and are not in its component."""
+        end = int(np.searchsorted(self.sizes * self.percent, 100 * self.sizes[i], side="right"))
+        rest = np.arange(i + 1, end)
+        keep = self.root[rest] != self.root[i]
+        if self.two:
+            keep &= self.side[rest] != self.side[i]
+        rest = rest[keep]
+        unlike = np.bitwise_count(self.maps[rest] ^ self.maps[i]).sum(axis=1).astype(np.int64)
+        return rest[may_link(unlike, self.sizes[rest], self.sizes[i], self.percent)]
+
+    def flagged(self) -> list:
+        hit = np.zeros(len(self.names), bool)
+        for i in range(len(self.names)):
+            found = self.rivals(i)
+            hit[found] = True
+            hit[i] |= len(found) > 0
+        return [self.names[i] for i in np.flatnonzero(hit).tolist()]
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple]:
+        sets, out = [sets[i] for i in self.order], []
+        for i in range(len(sets)):
+            for j in self.rivals(i).tolist():
+                if self.root[j] != self.root[i] and self.linked(sets[i], sets[j]):
+                    out.append((self.names[i], self.names[j]))
+                    self.root[self.root == self.root[j]] = self.root[i]
+        return out
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         shared = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * shared >= self.percent * (len(a) + len(b) - shared)
 
-    def links(self, names, sets, sides, active, joined) -> list[tuple]:
-        """``sides``: 0 and 1 for the two blocks; pairs are compared if one is active and,
-        for two blocks, the sides differ. ``joined``: sets linked to the hub already."""
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
-        sets = [sets[i] for i in order]
-        names = [names[i] for i in order]
-        side = np.array([sides[i] for i in order])
-        act = np.array([active[i] for i in order])
-        sizes = np.array([len(s) for s in sets])
-        bits = min(1 << 14, max(64, 1 << int(2 * sizes[-1]).bit_length()))
-        maps = np.stack([bitmap(s, bits) for s in sets])
-        root = np.arange(len(sets))
-        hub = [i for i, k in enumerate(order) if joined[k]]
-        if hub:
-            root[hub] = hub[0]
-        two = len(set(sides)) > 1
-        out = []
-        for i in range(len(sets)):
-            end = int(np.searchsorted(sizes * self.percent, 100 * sizes[i], side="right"))
-            rest = np.arange(i + 1, end)
-            keep = (root[rest] != root[i]) & (act[rest] | act[i])
-            if two:
-                keep &= side[rest] != side[i]
-            rest = rest[keep]
-            if not len(rest):
-                continue
-            unlike = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1)
-            most = (sizes[rest] + sizes[i] - unlike) // 2  # overlap is not above this
-            fits = 100 * most >= self.percent * (sizes[rest] + sizes[i] - most)
-            for j in rest[fits].tolist():
-                if root[j] != root[i] and self.linked(sets[i], sets[j]):
-                    out.append((names[i], names[j]))
-                    root[root == root[j]] = root[i]
-        return out
+
+def bit_rows(column: pa.Array) -> list[np.ndarray]:
+    return [np.ascontiguousarray(x).view(np.uint64) for x in byte_rows(column)]
 
 
-def hub_links(members: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """Rows (hub, short, node, hub_node, linked) for each member of a candidate group."""
-    hubs = sets.select(
+def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (node, hub_node) between members of candidate groups and their hubs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, hubs = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            unlike = []
+            for x, y in zip(bit_rows(batch.column(3)), bit_rows(batch.column(5)), strict=True):
+                words = min(len(x), len(y))
+                unlike.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()))
+            keep = may_link(np.array(unlike, np.int64), sizes, hubs, percent)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1)], ["node", "hub_node"]
+            ).filter(pa.array(keep))
+
+    bits = sets.select("short", "node", "n", "bits")
+    hub_bits = bits.select(
         F.col("short").alias("hub"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"),
-        F.col("hashes").alias("hub_hashes"),
+        F.col("bits").alias("hub_bits"),
     )
-    shared = F.size(F.array_intersect("hashes", "hub_hashes"))
-    union = F.col("n") + F.col("hub_n") - shared
-    return (
-        members.join(sets, "short")
-        .join(hubs, "hub")
-        .select("hub", "node", "hub_node", "n", (100 * shared >= least_percent * union).alias("linked"))
+    close = stored(
+        members.join(bits, "short").join(hub_bits, "hub")
+        .select("node", "hub_node", "n", "bits", "hub_n", "hub_bits")
+        .mapInArrow(run, "node binary, hub_node binary")
+        .distinct(),
+        "close",
+    )
+    hubs = close.select(F.col("hub_node").alias("node"))
+    full = thinned(sets.select("node", "n", "hashes"), close, "node")
+    hub_full = thinned(sets.select("node", "n", "hashes"), hubs, "node").select(
+        F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes")
     )
+    shared = F.size(F.array_intersect("hashes", "hub_hashes"))
+    near = 100 * shared >= percent * (F.col("n") + F.col("hub_n") - shared)
+    return close.join(full, "node").join(hub_full, "hub_node").filter(near).select("node", "hub_node")
 
 
-def block_links(members: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """Links (a, b) of groups in which some member is not linked to the hub.
+def tiles(members: DataFrame, hashes_at_most: int, most: int) -> DataFrame:
+    """Rows (hub, node, n, root, linked, block, i, j): members of groups dealt to block pairs.
 
-    ``members`` has (hub, node, n, linked). A group is cut into blocks by hash; a block of
-    unlinked members meets every block of the group, linked blocks do not meet each other.
+    A group is cut into blocks by hash. Blocks of members that are not in the hub's component
+    meet all blocks of the group; the others do not meet each other.
     """
     spread = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(64)))
     partial = spread.groupBy("hub", "_salt").agg(
@@ -267,40 +314,64 @@ def block_links(members: DataFrame, sets: DataFrame, least_percent: int) -> Data
         F.max("n").alias("n"),
     )
     groups = partial.groupBy("hub").agg(F.sum("u").alias("u"), F.sum("l").alias("l"), F.max("n").alias("n"))
-    size = F.greatest(
-        F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.floor(F.lit(BLOCK_HASHES) / F.col("n")))
-    )
-    groups = groups.filter("u > 0").select(
+    size = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(most), F.floor(F.lit(hashes_at_most) / F.col("n"))))
+    groups = groups.filter("u > 0 and u + l > 1").select(
         "hub",
         F.ceil(F.col("u") / size).cast("int").alias("open"),
         F.ceil(F.col("l") / size).cast("int").alias("shut"),
     )
-    placed = members.join(groups, "hub").select(
-        "hub", "node", "linked", "open", "shut",
-        F.when(~F.col("linked"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("open")))
-        .otherwise(F.col("open") + F.pmod(F.xxhash64("node", F.lit(5)), F.greatest("shut", F.lit(1))))
-        .cast("int").alias("block"),
+    place = F.xxhash64("node", F.lit(5))
+    block = F.when(~F.col("linked"), F.pmod(place, F.col("open"))).otherwise(
+        F.col("open") + F.pmod(place, F.greatest("shut", F.lit(1)))
     )
-    # Block b of the open ones meets all blocks; a shut one meets the open ones only.
-    others = F.when(
-        F.col("linked"), F.sequence(F.lit(0), F.col("open") - 1)
-    ).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("shut") - 1))
-    dealt = placed.select("hub", "node", "linked", "block", F.explode(others).alias("other")).select(
-        "hub", "node", "linked",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+    others = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("open") + F.col("shut") - 1)
     )
-    rows = dealt.join(sets.select("node", "hashes"), "node")
-    worker = Block(least_percent)
+    placed = members.join(groups, "hub").withColumn("block", block.cast("int"))
+    dealt = placed.withColumn("other", F.explode(others))
+    return dealt.select(
+        "hub", "node", "n", "root", "block",
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    )
+
+
+def numbered(roots: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(r, len(known)) for r in roots])
+
+
+def flagged_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (hub, node) of members that, by their bitmaps, may link to another component."""
+    rows = tiles(members, BLOCK_HASHES * 32, 4 * BLOCK_MOST).join(sets.select("node", "bits"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        group = Group(
+            table.column("node").to_pylist(), table.column("n").to_pylist(),
+            numbered(table.column("root").to_pylist()), table.column("block").to_pylist(),
+            bit_rows(table.column("bits")), percent,
+        )
+        found = group.flagged()
+        hub = table.column("hub")[0].as_py()
+        return pa.table({"hub": pa.array([hub] * len(found), pa.int64()), "node": pa.array(found, pa.binary())})
+
+    return rows.groupBy("hub", "i", "j").applyInArrow(run, "hub long, node binary").distinct()
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of candidate groups, decided by the whole sets."""
+    full = thinned(sets.select("node", "hashes", "bits"), members, "node")
+    rows = tiles(members, BLOCK_HASHES, BLOCK_MOST).join(full, "node")
 
     def run(table: pa.Table) -> pa.Table:
-        names = table.column("node").to_pylist()
         lists = table.column("hashes").combine_chunks()
         flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).view(np.uint64)
         ends = lists.offsets.to_numpy()
-        sets_here = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        linked = table.column("linked").to_pylist()
-        block = table.column("block").to_pylist()
-        found = worker.links(names, sets_here, block, [not x for x in linked], linked)
+        group = Group(
+            table.column("node").to_pylist(), table.column("n").to_pylist(),
+            numbered(table.column("root").to_pylist()), table.column("block").to_pylist(),
+            bit_rows(table.column("bits")), percent,
+        )
+        found = group.links([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
         return pa.table(
             {"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())}
         )
@@ -323,21 +394,22 @@ def jaccard_groups(documents: DataFrame, width: int = 4, least_percent: int = 85
     )
     shorts = members.select("short").union(members.select("hub")).distinct()
     refs = named.join(shorts, "short").groupBy("node").agg(F.min("ref").alias("ref")).select("ref").distinct()
-    texts = thinned(referred(documents), refs, "ref").join(refs, "ref", "left_semi")
+    # An inner join: Spark would move a semi join below the filter, to all texts.
+    texts = thinned(referred(documents), refs, "ref").join(refs, "ref")
     sets = stored(candidate_sets(texts, width), "sets")
 
-    compared = stored(hub_links(members, sets, least_percent), "hub-links")
-    first = compared.filter("linked").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
-    near = components(first)
-    open_members = (
-        compared.join(near.withColumnRenamed("root", "r1"), "node", "left")
-        .join(near.select(F.col("node").alias("hub_node"), F.col("root").alias("r2")), "hub_node", "left")
-        .select(
-            "hub", "node", "n",
-            (F.coalesce("r1", "node") == F.coalesce("r2", "hub_node")).alias("linked"),
-        )
+    first = hub_links(members, sets, least_percent)
+    near = components(first.select(F.col("node").alias("a"), F.col("hub_node").alias("b")))
+    everyone = members.union(members.select("hub", F.col("hub").alias("short"))).distinct()
+    names = sets.select("short", "node", "n").join(near, "node", "left")
+    names = stored(names.withColumn("root", F.coalesce("root", "node")), "names")
+    hubs = names.groupBy(F.col("short").alias("hub")).agg(F.min("root").alias("hub_root"))
+    placed = everyone.join(names, "short").join(hubs, "hub").select(
+        "hub", "node", "n", "root", (F.col("root") == F.col("hub_root")).alias("linked")
     )
-    second = stored(block_links(stored(open_members, "open"), sets, least_percent), "block-links")
+    flagged = flagged_members(placed, sets, least_percent)
+    rivals = stored(placed.join(flagged, ["hub", "node"], "left_semi"), "rivals")
+    second = stored(block_links(rivals, sets, least_percent), "block-links")
     more = second.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
     more = more.join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     more = more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
