@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import components, stored, thinned
+from faultline.llm.tables import components, stored, surely_without, thinned
 from faultline.llm.words import (
     LOWER, as_long, byte_rows, digest, list_column, mix, numbers, shingle_set,
 )
@@ -431,16 +431,23 @@ def one_of_each(documents: DataFrame, width: int = 5, least_percent: int = 80) -
     Of rows that repeat the naming doc_id, the one with the least text stays; rows without
     doc_id stay.
     """
-    groups = jaccard_groups(documents, width, least_percent)
-    gone = groups.filter("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    twice = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    kept = documents.join(gone, "doc_id", "left_anti")
-    again = kept.join(twice.select("doc_id"), "doc_id", "left_semi")
-    once = kept.join(twice.select("doc_id"), "doc_id", "left_anti")
-    columns = documents.columns
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    again = again.withColumn("_rank", rank).filter("_rank = 1").select(*columns)
-    return once.select(*columns).unionByName(again)
+    groups = stored(jaccard_groups(documents, width, least_percent).filter("n_shingles > 0"), "groups")
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_ref")).distinct()
+    twice = groups.groupBy(F.col("doc_id").alias("_ref")).count()
+    twice = stored(twice.filter("count > 1 and _ref is not null").select("_ref"), "twice")
+    packed = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
+        F.col("doc_id").cast("long").alias("_ref"),
+    )
+    doubtful = thinned(packed, gone, "_ref").join(gone, "_ref", "left_anti")
+    kept = surely_without(packed, gone, "_ref").unionByName(doubtful)
+    if not twice.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("_ref").orderBy("_row.text"))
+        again = thinned(kept, twice, "_ref").join(twice, "_ref").withColumn("_rank", rank)
+        again = again.filter("_rank = 1").drop("_rank")
+        once = thinned(kept, twice, "_ref").join(twice, "_ref", "left_anti")
+        kept = surely_without(kept, twice, "_ref").unionByName(once).unionByName(again)
+    return kept.select("_row.*")
 
 
 #: DuckDB form of the query op4_jaccard_join.

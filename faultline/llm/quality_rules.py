@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.tables import stored, surely_without, thinned
 from faultline.llm.words import (
     BYTE_VALUES, SPACE, byte_rows, mix, powers, slices, window_hashes, word_hashes,
 )
@@ -205,8 +206,10 @@ def keepers(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """The documents that ``judged`` keeps, with all their columns."""
     out = judged(documents, labels, threshold).filter("not kept")
     out = out.select(F.coalesce("doc_id", "key").alias("_ref"), F.col("key").alias("_key")).distinct()
+    out = stored(out, "rejected")
     packed = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
         F.xxhash64("text").alias("_key"),
     ).withColumn("_ref", F.coalesce(F.col("_row.doc_id").cast("long"), "_key"))
-    return packed.join(out, ["_ref", "_key"], "left_anti").select("_row.*")
+    doubtful = thinned(packed, out, "_ref").join(out, ["_ref", "_key"], "left_anti")
+    return surely_without(packed, out, "_ref").unionByName(doubtful).select("_row.*")

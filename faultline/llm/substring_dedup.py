@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import stored, thinned
+from faultline.llm.tables import stored, surely_without, thinned
 from faultline.llm.words import as_long, byte_rows, mix, spans, window_hashes, word_hashes
 
 #: Words of an anchor. Longer anchors repeat less by chance but leave fewer to choose from.
@@ -275,7 +275,8 @@ def covered(count: int, starts, stops, width: int) -> np.ndarray:
 def later_copies(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` with ``copy``: whether all words of the row occur in an earlier text."""
     firsts = rows.filter(F.col("n_words") >= width).groupBy("node")
-    firsts = firsts.agg(F.min(F.struct("doc_id", "key")).alias("_first"))
+    # Stored, so that Spark can split the join where one text has very many copies.
+    firsts = stored(firsts.agg(F.min(F.struct("doc_id", "key")).alias("_first")), "firsts")
     long = rows.filter(F.col("n_words") >= width).join(firsts, "node")
     long = long.withColumn("copy", F.struct("doc_id", "key") != F.col("_first")).drop("_first")
     brief = rows.filter(F.col("n_words") < width).withColumn("copy", F.lit(False))
@@ -359,8 +360,11 @@ def without_repeats(documents: DataFrame, width: int = 20) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
         F.xxhash64("text").alias("key"),
     ).withColumn("ref", F.coalesce(F.col("_row.doc_id").cast("long"), "key"))
-    left = packed.join(copies, ["ref", "key"], "left_anti").join(spans_of, ["ref", "key"], "left")
-    out = left.withColumn("_text", cut("_row.text", "starts", "stops"))
+    touched = stored(spans_of.select("ref").union(copies.select("ref")).distinct(), "touched")
+    left = thinned(packed, touched, "ref").join(copies, ["ref", "key"], "left_anti")
+    left = left.join(spans_of, ["ref", "key"], "left").withColumn("_text", cut("_row.text", "starts", "stops"))
+    whole = surely_without(packed, touched, "ref").withColumn("_text", F.col("_row.text"))
+    out = left.unionByName(whole, allowMissingColumns=True)
     out = out.filter("starts is null or _text != ''")
     columns = []
     for c in documents.columns:

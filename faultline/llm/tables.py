@@ -19,12 +19,8 @@ def shuffle_partitions(table: DataFrame) -> int:
     return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def thinned(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``table`` whose key may occur in ``keys``: all that do, and few others.
-
-    A bitmap of fixed size is joined by broadcast, so large rows that a later join would
-    drop are not shuffled for it. A bitmap full of keys only lets more rows pass.
-    """
+def hit_bits(table: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Joins a bitmap of fixed size of ``keys`` to ``table`` by broadcast, as _bit and _set."""
     slot = F.xxhash64(F.lit(17), F.col(key))
     word = F.shiftrightunsigned(slot, 6).bitwiseAND(FILTER_WORDS - 1)
     bit = F.call_function("shiftleft", F.expr("1L"), slot.bitwiseAND(63).cast("int"))
@@ -34,8 +30,24 @@ def thinned(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         .agg(F.bit_or("_set").alias("_set"))
     )
     joined = table.withColumn("_word", word).withColumn("_bit", bit)
-    joined = joined.join(F.broadcast(bits), "_word")
-    return joined.filter(F.col("_set").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_set")
+    return joined.join(F.broadcast(bits), "_word", how).drop("_word")
+
+
+def thinned(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose key may occur in ``keys``: all that do, and few others.
+
+    Large rows that a later join would drop are not shuffled for it. A bitmap full of keys
+    only lets more rows pass.
+    """
+    joined = hit_bits(table, keys, key, "inner")
+    return joined.filter(F.col("_set").bitwiseAND(F.col("_bit")) != 0).drop("_bit", "_set")
+
+
+def surely_without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows that ``thinned`` leaves out; they need no join with ``keys``."""
+    joined = hit_bits(table, keys, key, "left")
+    missed = F.col("_set").isNull() | (F.col("_set").bitwiseAND(F.col("_bit")) == 0)
+    return joined.filter(missed).drop("_bit", "_set")
 
 
 def components(links: DataFrame) -> DataFrame:
