@@ -103,6 +103,21 @@ def agg_class_stats(spark, sf_dir):
     return aggregates.agg_class_stats(split(spark, sf_dir), "split")
 
 
+@query(
+    ml_sql(
+        "select 'sampled' as split, count(*) as rows, sum(label_next_hour)::bigint as positives, "
+        "(count(*) - sum(label_next_hour))::bigint as negatives, "
+        "round(avg(label_next_hour), 6) as positive_rate, "
+        "round((count(*) - sum(label_next_hour)) / sum(label_next_hour), 6) as "
+        "negatives_per_positive from sampled"
+    )
+)
+def agg_class_stats_sampled(spark, sf_dir):
+    """The classes that a model is trained on, after sampling."""
+    train, _ = learning.training_tables(features(spark, sf_dir))
+    return aggregates.agg_class_stats(train.withColumn("split", F.lit("sampled")), "split")
+
+
 @query(
     ml_sql(
         "select host, feature_window_start, "

@@ -19,7 +19,7 @@ from faultline import fixed_values as fixed
 from faultline.operators.ordering import running_over_chunks
 from faultline.sinks.tables import written_table
 
-RANGES = 256
+LEAST_RANGES = 256
 
 
 def score_counts(scored: DataFrame) -> DataFrame:
@@ -39,8 +39,10 @@ def ranked_scores(scored: DataFrame) -> DataFrame:
     totals = counts.agg(
         F.struct(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     ).scalar()
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(LEAST_RANGES, 2 * tasks)
     ranges = QuantileDiscretizer(
-        numBuckets=RANGES, inputCol="score", outputCol="_range", relativeError=0.1 / RANGES
+        numBuckets=wanted, inputCol="score", outputCol="_range", relativeError=0.1 / wanted
     ).fit(counts)
     running = running_over_chunks(
         ranges.transform(counts).withColumn("_key", -F.col("score")),

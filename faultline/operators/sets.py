@@ -25,4 +25,4 @@ def union_by_name(
 def concat_classes(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     """Both classes, with a hash column that puts the rows in a repeatable mixed order."""
     rows = positives.unionByName(negatives)
-    return rows.withColumn("mix_order", F.md5(F.to_json(F.struct(*sorted(rows.columns)))))
+    return rows.withColumn("mix_order", F.xxhash64(*sorted(rows.columns)))

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
 from faultline.functions.calendars import day_type, month_third
 from faultline.operators.aggregates import agg_count_by, agg_pivot_heatmap
+from faultline.session import require_utc
+
+
+def in_utc(profile: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The profile, refused in a session whose hours are not those of UTC."""
+
+    @wraps(profile)
+    def checked(bursts: DataFrame) -> DataFrame:
+        require_utc(bursts.sparkSession)
+        return profile(bursts)
+
+    return checked
 
 
+@in_utc
 def profile_hour(bursts: DataFrame) -> DataFrame:
     return agg_count_by(bursts, F.hour("min_timestamp").alias("hour")).orderBy("hour")
 
 
+@in_utc
 def profile_hour_daytype(bursts: DataFrame) -> DataFrame:
     return agg_count_by(
         bursts,
@@ -22,15 +39,18 @@ def profile_hour_daytype(bursts: DataFrame) -> DataFrame:
     )
 
 
+@in_utc
 def profile_day_of_month(bursts: DataFrame) -> DataFrame:
     day = F.dayofmonth("min_timestamp").alias("day_of_month")
     return agg_count_by(bursts, day).orderBy("day_of_month")
 
 
+@in_utc
 def profile_month_third(bursts: DataFrame) -> DataFrame:
     return agg_count_by(bursts, month_third(F.col("min_timestamp")).alias("month_third"))
 
 
+@in_utc
 def profile_month(bursts: DataFrame) -> DataFrame:
     return agg_count_by(
         bursts,
@@ -39,6 +59,7 @@ def profile_month(bursts: DataFrame) -> DataFrame:
     ).orderBy("month_number")
 
 
+@in_utc
 def daily_series(bursts: DataFrame) -> DataFrame:
     """Bursts per day from the first day to the last, 0 on days without."""
     counts = agg_count_by(bursts, F.to_date("min_timestamp").alias("date"))
@@ -80,5 +101,6 @@ def seasonal_decompose(series: DataFrame, days: int = fixed.SEASON_DAYS) -> Data
     ).orderBy("date")
 
 
+@in_utc
 def heatmap_day_hour(bursts: DataFrame) -> DataFrame:
     return agg_pivot_heatmap(bursts)
