@@ -17,8 +17,9 @@ same rows and packs them alike.
 Tokenizing
 ----------
 The tokenizer drops white space and looks at nothing beyond it, so a text's ids are the ids
-of its parts between ASCII white space. A task keeps the ids of parts that it has met, up to
-``CACHE`` of them, and gives the tokenizer only new ones.
+of its parts between ASCII white space. A task keeps the ids of the parts that it met last,
+up to ``CACHE`` of them, and gives the tokenizer only new ones. Where the tokenizer splits
+letters from signs, a part's word and the signs after it are looked up apart.
 
 Cases
 -----
@@ -29,6 +30,7 @@ their own. Null doc_id: packed, the piece has no doc_id. Empty tables: no rows.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -43,8 +45,10 @@ from faultline.llm.words import byte_rows
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 21, 1 << 12
-TERMS, NEIGHBOURS, CACHE = 32, 64, 200_000
+TERMS, NEIGHBOURS, CACHE = 32, 64, 400_000
 K1, B = 1.2, 0.75
+TOGETHER = 1 << 16  # parts of texts that are looked up at once
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe
 
 
 @functools.cache
@@ -55,26 +59,104 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def word_ends(path: str) -> tuple[bool, np.ndarray]:
+    """Whether letters, single digits and other signs are split apart and a word's last id
+    tells so; which ids are such."""
+    tool = tokenizer(path)
+    settings = json.loads(tool.to_str())
+    suffix = settings["model"].get("end_of_word_suffix")
+    kinds = json.dumps(settings.get("pre_tokenizer"))
+    splits = bool(suffix) and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in kinds
+    last = np.zeros(tool.get_vocab_size() + 1, bool)
+    if splits:
+        last[[i for token, i in tool.get_vocab().items() if token.endswith(suffix)]] = True
+    return splits, last
+
+
+class Recent:
+    """The values met last, between ``CACHE`` / 2 and ``CACHE`` of them."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > CACHE // 2:
+            self.old, self.young = self.young, {}
+
+    def get(self, key: bytes) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.tool, self.known = tokenizer(path), {}
+        self.tool, self.parts, self.words = tokenizer(path), Recent(), Recent()
+        self.splits, self.last = word_ends(path)
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4") for x in found]
+
+    def learn_words(self, words: list[bytes]) -> None:
+        """Ids of words of small letters: many are encoded as one text and cut at their ends."""
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = self.encoded([" ".join([w.decode() for w in some])])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                each = [x.tobytes() for x in self.encoded([w.decode() for w in some])]
+            else:
+                whole, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                each = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            self.words.young.update(zip(some, each, strict=True))
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Ids of new parts. Most are a word and signs after it, which are looked up apart."""
+        split, whole = [], []
+        for part in parts:
+            word = part.rstrip(SIGNS).lower()
+            if self.splits and word and b"<|" not in part and (word.isalpha() or word.decode().isalpha()):
+                split.append((part, word, part[len(word) :]))
+            else:
+                whole.append(part)
+        words = {word for _, word, _ in split}
+        self.learn_words(sorted(w for w in words if self.words.get(w) is None))
+        signs = {s for _, _, s in split if s}
+        signs = sorted(s for s in signs if self.words.get(s) is None)
+        for keys, store in ((signs, self.words), (whole, self.parts)):
+            for i in range(0, len(keys), 1 << 13):
+                some = keys[i : i + (1 << 13)]
+                each = self.encoded([k.decode() for k in some])
+                store.young.update(zip(some, (x.tobytes() for x in each), strict=True))
+        known, young = self.words.young, self.parts.young
+        for part, word, sign in split:
+            young[part] = known[word] + known[sign] if sign else known[word]
 
     def of(self, texts: list[np.ndarray]) -> list[bytes]:
-        parts = [text.tobytes().split() for text in texts]
-        known = self.known
-        new = list({p for words in parts for p in words if p not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({p for words in parts for p in words})
-        for i in range(0, len(new), 1 << 14):
-            some = new[i : i + (1 << 14)]
-            found = self.tool.encode_batch([p.decode() for p in some], add_special_tokens=False)
-            for part, code in zip(some, found, strict=True):
-                known[part] = np.array(code.ids, dtype="<u4").tobytes()
-        end = np.array([END], dtype="<u4").tobytes()
-        return [b"".join([known[p] for p in words]) + end for words in parts]
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text.tobytes().split())
+            size += len(some[-1])
+            if size >= TOGETHER:
+                out += self.joined(some)
+                some, size = [], 0
+        return out + self.joined(some)
+
+    def joined(self, texts: list[list[bytes]]) -> list[bytes]:
+        self.parts.turn()
+        self.words.turn()
+        young, end = self.parts.young, np.array([END], dtype="<u4").tobytes()
+        parts = set().union(*texts)
+        self.learn([p for p in parts if p not in young and self.parts.get(p) is None])
+        return [b"".join([young[p] for p in text]) + end for text in texts]
 
 
 class Index:
