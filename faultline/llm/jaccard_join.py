@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import components, stored, surely_without, thinned
+from faultline.llm.tables import components, left_out, stored, surely_without, thinned
 from faultline.llm.words import (
     LOWER, as_long, byte_rows, digest, list_column, mix, numbers, shingle_set,
 )
@@ -439,13 +439,13 @@ def one_of_each(documents: DataFrame, width: int = 5, least_percent: int = 80) -
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
         F.col("doc_id").cast("long").alias("_ref"),
     )
-    doubtful = thinned(packed, gone, "_ref").join(gone, "_ref", "left_anti")
+    doubtful = left_out(thinned(packed, gone, "_ref"), gone, ["_ref"])
     kept = surely_without(packed, gone, "_ref").unionByName(doubtful)
     if not twice.isEmpty():
         rank = F.row_number().over(Window.partitionBy("_ref").orderBy("_row.text"))
         again = thinned(kept, twice, "_ref").join(twice, "_ref").withColumn("_rank", rank)
         again = again.filter("_rank = 1").drop("_rank")
-        once = thinned(kept, twice, "_ref").join(twice, "_ref", "left_anti")
+        once = left_out(thinned(kept, twice, "_ref"), twice, ["_ref"])
         kept = surely_without(kept, twice, "_ref").unionByName(once).unionByName(again)
     return kept.select("_row.*")
 

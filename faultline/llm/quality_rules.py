@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import stored, surely_without, thinned
+from faultline.llm.tables import left_out, stored, surely_without, thinned
 from faultline.llm.words import (
     BYTE_VALUES, SPACE, byte_rows, mix, powers, slices, window_hashes, word_hashes,
 )
@@ -211,5 +211,5 @@ def keepers(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
         F.xxhash64("text").alias("_key"),
     ).withColumn("_ref", F.coalesce(F.col("_row.doc_id").cast("long"), "_key"))
-    doubtful = thinned(packed, out, "_ref").join(out, ["_ref", "_key"], "left_anti")
+    doubtful = left_out(thinned(packed, out, "_ref"), out, ["_ref", "_key"])
     return surely_without(packed, out, "_ref").unionByName(doubtful).select("_row.*")

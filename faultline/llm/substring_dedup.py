@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import stored, surely_without, thinned
+from faultline.llm.tables import left_out, stored, surely_without, thinned
 from faultline.llm.words import as_long, byte_rows, mix, spans, window_hashes, word_hashes
 
 #: Words of an anchor. Longer anchors repeat less by chance but leave fewer to choose from.
@@ -361,7 +361,7 @@ def without_repeats(documents: DataFrame, width: int = 20) -> DataFrame:
         F.xxhash64("text").alias("key"),
     ).withColumn("ref", F.coalesce(F.col("_row.doc_id").cast("long"), "key"))
     touched = stored(spans_of.select("ref").union(copies.select("ref")).distinct(), "touched")
-    left = thinned(packed, touched, "ref").join(copies, ["ref", "key"], "left_anti")
+    left = left_out(thinned(packed, touched, "ref"), copies, ["ref", "key"])
     left = left.join(spans_of, ["ref", "key"], "left").withColumn("_text", cut("_row.text", "starts", "stops"))
     whole = surely_without(packed, touched, "ref").withColumn("_text", F.col("_row.text"))
     out = left.unionByName(whole, allowMissingColumns=True)
