@@ -7,6 +7,8 @@ from checks import registry
 from checks.compare import compare, open_database
 
 SMALL = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def database():
     return open_database(SMALL)
