@@ -32,6 +32,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ from faultline.llm.words import byte_rows
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 21, 1 << 12
-TERMS, NEIGHBOURS, CACHE = 32, 64, 400_000
+TERMS, NEIGHBOURS, CACHE = 32, 64, 600_000
 K1, B = 1.2, 0.75
 TOGETHER = 1 << 16  # parts of texts that are looked up at once
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe
@@ -85,13 +86,22 @@ class Recent:
         if len(self.young) > CACHE // 2:
             self.old, self.young = self.young, {}
 
-    def get(self, key: bytes) -> bytes | None:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.young[key] = found
-        return found
+    def missing(self, keys) -> list[bytes]:
+        """The keys without a value; the values of the others are young again."""
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.append(key)
+        return out
+
+
+def letters(word: bytes) -> bool:
+    """Whether a word is letters only, also as the tokenizer normalises it."""
+    text = word.decode()
+    return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
 
 class Ids:
@@ -109,7 +119,7 @@ class Ids:
         """Ids of words of small letters: many are encoded as one text and cut at their ends."""
         for i in range(0, len(words), 512):
             some = words[i : i + 512]
-            ids = self.encoded([" ".join([w.decode() for w in some])])[0]
+            ids = self.encoded([b" ".join(some).decode()])[0]
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 each = [x.tobytes() for x in self.encoded([w.decode() for w in some])]
@@ -123,14 +133,12 @@ class Ids:
         split, whole = [], []
         for part in parts:
             word = part.rstrip(SIGNS).lower()
-            if self.splits and word and b"<|" not in part and (word.isalpha() or word.decode().isalpha()):
+            if self.splits and word and b"<|" not in part and (word.isalpha() or letters(word)):
                 split.append((part, word, part[len(word) :]))
             else:
                 whole.append(part)
-        words = {word for _, word, _ in split}
-        self.learn_words(sorted(w for w in words if self.words.get(w) is None))
-        signs = {s for _, _, s in split if s}
-        signs = sorted(s for s in signs if self.words.get(s) is None)
+        self.learn_words(self.words.missing({word for _, word, _ in split}))
+        signs = self.words.missing({s for _, _, s in split if s})
         for keys, store in ((signs, self.words), (whole, self.parts)):
             for i in range(0, len(keys), 1 << 13):
                 some = keys[i : i + (1 << 13)]
@@ -154,8 +162,7 @@ class Ids:
         self.parts.turn()
         self.words.turn()
         young, end = self.parts.young, np.array([END], dtype="<u4").tobytes()
-        parts = set().union(*texts)
-        self.learn([p for p in parts if p not in young and self.parts.get(p) is None])
+        self.learn(self.parts.missing(set().union(*texts)))
         return [b"".join([young[p] for p in text]) + end for text in texts]
 
 
@@ -163,12 +170,12 @@ class Index:
     """BM25 inverted index of one shard's items."""
 
     def __init__(self, items: list[np.ndarray]):
-        found = [np.unique(x, return_counts=True) for x in items]
-        sizes = np.array([len(t) for t, _ in found])
-        term = np.concatenate([t for t, _ in found]).astype(np.int64)
-        count = np.concatenate([c for _, c in found]).astype(float)
-        item = np.repeat(np.arange(len(items)), sizes)
         length = np.array([len(x) for x in items], dtype=float)
+        owner = np.repeat(np.arange(len(items), dtype=np.int64), [len(x) for x in items])
+        # One sort for all items: an item's terms stand together, in order.
+        pairs, count = np.unique(owner << 32 | np.concatenate(items).astype(np.int64), return_counts=True)
+        item, term = pairs >> 32, pairs & 0xFFFFFFFF
+        sizes = np.bincount(item, minlength=len(items))
         used, self.code = np.unique(term, return_inverse=True)
         holders = np.bincount(self.code, minlength=len(used))
         rarity = np.log1p((len(items) - holders + 0.5) / (holders + 0.5))

@@ -307,6 +307,19 @@ def test_packing_is_an_exact_cover(frame, odd, prose):
     check_packing(rows, found)
 
 
+def test_ids_equal_the_tokenizer():
+    rng = random.Random(11)
+    pieces = ["a", "Don't", "we'LL", "x,", "(y)", "\"z\"", "…", "é", "É,", "E\u0301", "H\u0331", "12.5", "½", "漢字。", "<|", "|>",
+              "<|endoftext|>", "<|ENDOFTEXT|>", "'", "'s", "-", "###", "\u00a0", "\u3000", "İ", "ß", "K", "_", "\x1c", "ǰ", "I\u0307",
+              "\U0001f600", "\u200d", "Ⅷ", "ﬁ", " ", "\n", "\t", "  ", "."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    tool = Tokenizer.from_file(PATH)
+    found = packing.Ids(PATH).of([raw(t) for t in texts])
+    for text, ids in zip(texts, found, strict=True):
+        want = tool.encode(text, add_special_tokens=False).ids + [1]
+        assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
+
+
 def test_packing_of_nothing(frame):
     assert packing.pieces(frame([]), PATH).count() == 0
     row = packing.pieces(frame([(1, None)]), PATH).collect()
