@@ -5,10 +5,10 @@ Method
 A document is its token ids and an end id. Full windows of a long document stand alone; what
 is left of it, and every shorter document, is an *item*. Tasks cut their rows into shards of
 bounded size and build a BM25 inverted index of each shard's items, with token ids as terms.
-The longest unused item is the seed of a window: its ``TERMS`` weightiest terms query the
-index, and its best unused neighbours fill the window, first those that fit whole, then the
-best one is cut so that the window is full, and its rest stays an item. Where no neighbour
-shares a term, the longest unused item serves. All windows but a shard's last are full. The
+The longest unused item is the seed of a window: all its terms query the index, and its
+unused neighbours fill the window, best first down the whole ranking: first those that fit
+whole, then the best one is cut so that the window is full, and its rest stays an item. Only
+where no unused item shares a term with the seed, the longest unused item serves. All windows but a shard's last are full. The
 last one is cut into sequences whose lengths are powers of two, which need no padding.
 
 Shards do not cross partitions, so nothing is shuffled; a task that is run again reads the
@@ -46,7 +46,7 @@ from faultline.llm.words import byte_rows
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 21, 1 << 12
-TERMS, NEIGHBOURS, CACHE = 32, 64, 600_000
+CACHE = 600_000
 K1, B = 1.2, 0.75
 TOGETHER = 1 << 16  # parts of texts that are looked up at once
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe
@@ -186,22 +186,26 @@ class Index:
         self.holder, self.impact = item[order], self.weight[order]
         self.start = np.concatenate([[0], np.cumsum(holders)])
         self.size = len(items)
-
-    def neighbours(self, seed: int, free: np.ndarray) -> list[int]:
-        """The best free items for a seed, best first."""
-        a, b = self.first[seed], self.first[seed + 1]
-        top = np.arange(a, b)
-        if len(top) > TERMS:
-            top = a + np.argpartition(-self.weight[a:b], TERMS)[:TERMS]
-        runs = [slice(self.start[c], self.start[c + 1]) for c in self.code[top].tolist()]
-        scores = np.bincount(
-            np.concatenate([self.holder[r] for r in runs]),
-            weights=np.concatenate([self.impact[r] for r in runs]), minlength=self.size,
-        )
+        # Terms of more than an eighth of the items have a row of all items instead of a list.
+        common = holders > len(items) // 8
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), len(items)))
+        often = common[self.code]
+        self.dense[self.row[self.code[often]], item[often]] = self.weight[often]
+
+    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """All free items that share a term with the seed, best first."""
+        codes = self.code[self.first[seed] : self.first[seed + 1]]
+        scores = self.dense[self.row[codes[self.row[codes] >= 0]]].sum(axis=0)
+        runs = [slice(self.start[c], self.start[c + 1]) for c in codes[self.row[codes] < 0].tolist()]
+        if runs:
+            scores += np.bincount(
+                np.concatenate([self.holder[r] for r in runs]),
+                weights=np.concatenate([self.impact[r] for r in runs]), minlength=self.size,
+            )
         scores[~free] = 0
-        best = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.size > NEIGHBOURS else np.arange(self.size)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        order = np.argsort(-scores, kind="stable")
+        return order[: np.count_nonzero(scores > 0)]
 
 
 def packed(documents: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
@@ -236,14 +240,18 @@ def packed(documents: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         space = WINDOW - int(left[seed])
         if space > 0:
             near = index.neighbours(seed, free)
-            for i in near:
-                if left[i] <= space:
-                    chosen.append(i)
-                    free[i] = False
-                    space -= int(left[i])
-                    if not space:
-                        break
-            near = [i for i in near if free[i]]
+            sizes, at = left[near], 0
+            while space and at < len(near):
+                fits = sizes[at:] <= space
+                at += int(fits.argmax())
+                if not fits.any():
+                    break
+                i = int(near[at])
+                chosen.append(i)
+                free[i] = False
+                space -= int(left[i])
+                at += 1
+            near = near[free[near]].tolist() if space else []
             while space:
                 i = near.pop(0) if near else next_free()
                 if i is None:

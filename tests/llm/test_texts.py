@@ -354,3 +354,28 @@ def test_neighbours_fill_windows():
     for i, _, _, sequence, _ in packing.packed(documents):
         together[sequence].add(i % 4)
     assert all(len(topics) == 1 for topics in together.values())
+
+
+def test_window_takes_all_its_neighbours():
+    """Short documents of one topic fill a window, however many it needs, before others do."""
+    rng = np.random.default_rng(7)
+    topic = [rng.integers(10, 200, 16).astype("<u4") for _ in range(127)]
+    documents = [np.arange(10, 26, dtype="<u4"), *topic]
+    documents += [rng.integers(5000, 5200, 16).astype("<u4") for _ in range(128)]
+    index = packing.Index(documents)
+    free = np.ones(256, bool)
+    free[0] = False
+    near = [i for i in range(1, 256) if set(documents[i].tolist()) & set(range(10, 26))]
+    assert len(near) > 64 and sorted(index.neighbours(0, free)) == near
+    windows = defaultdict(set)
+    for i, _, _, sequence, _ in packing.packed(documents):
+        windows[sequence].add(i)
+    assert len(windows[0] & {0, *near}) == len(near) + 1
+
+
+def test_seed_asks_with_all_its_terms():
+    seed = np.arange(10, 60, dtype="<u4")
+    documents = [seed, *[np.full(3, i, "<u4") for i in range(10, 60)], np.full(3, 999, "<u4")]
+    free = np.ones(len(documents), bool)
+    free[0] = False
+    assert sorted(packing.Index(documents).neighbours(0, free)) == list(range(1, 51))
