@@ -3,16 +3,21 @@
 Method
 ------
 A document is its token ids and an end id. Full windows of a long document stand alone; what
-is left of it, and every shorter document, is an *item*. Tasks cut their rows into shards of
-bounded size and build a BM25 inverted index of each shard's items, with token ids as terms.
+is left of it, and every shorter document, is an *item*. Terms are token ids. Document
+frequencies and the mean length are counted over the items of all documents. Items are dealt
+to tasks by range of their lexical key, the ``KEYS`` weightiest terms that another item holds
+too, weightiest first, so that items of like content meet wherever they stood in the input;
+a key of many items is split by hash. Tasks cut their rows, in the order of keys, into shards
+of bounded size and build a BM25 inverted index of each shard's items with the corpus counts.
 The longest unused item is the seed of a window: all its terms query the index, and its
 unused neighbours fill the window, best first down the whole ranking: first those that fit
 whole, then the best one is cut so that the window is full, and its rest stays an item. Only
 where no unused item shares a term with the seed, the longest unused item serves. All windows but a shard's last are full. The
 last one is cut into sequences whose lengths are powers of two, which need no padding.
 
-Shards do not cross partitions, so nothing is shuffled; a task that is run again reads the
-same rows and packs them alike.
+An item is only compared with items of its shard; near items whose keys differ can lie in
+different shards (README: recall). Items are stored once and sorted in each task, so a task
+that is run again packs them alike. Ranges are cut by sampled keys.
 
 Tokenizing
 ----------
@@ -35,6 +40,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +48,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.tables import stored
 from faultline.llm.words import byte_rows
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 21, 1 << 12
 CACHE = 600_000
+KEYS, KEY_BITS = 3, 21  # terms of a lexical key, and bits of each
 K1, B = 1.2, 0.75
 TOGETHER = 1 << 16  # parts of texts that are looked up at once
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe
@@ -166,21 +174,64 @@ class Ids:
         return [b"".join([young[p] for p in text]) + end for text in texts]
 
 
+class Corpus(NamedTuple):
+    """Counts over all items: items that hold each term, items, tokens."""
+
+    held: np.ndarray
+    items: int
+    tokens: int
+
+    def rarity(self, terms: np.ndarray) -> np.ndarray:
+        holders = self.held[terms]
+        return np.log1p((self.items - holders + 0.5) / (holders + 0.5))
+
+    def norm(self, length):
+        return K1 * (1 - B + B * length * self.items / self.tokens)
+
+
+def item_terms(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, term and count of the distinct terms of each item, in order."""
+    owner = np.repeat(np.arange(len(items), dtype=np.int64), [len(x) for x in items])
+    # One sort for all items: an item's terms stand together, in order.
+    pairs, count = np.unique(owner << 32 | np.concatenate(items).astype(np.int64), return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, count
+
+
+def counted(items: list[np.ndarray]) -> Corpus:
+    terms = item_terms(items)[1]
+    return Corpus(np.bincount(terms), len(items), sum(len(x) for x in items))
+
+
+def lexical_keys(items: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """For each item its weightiest terms that another item holds too, as one number."""
+    keys = np.zeros(len(items), np.int64)
+    if not sum(len(x) for x in items):
+        return keys
+    item, term, count = item_terms(items)
+    shared = corpus.held[term] > 1
+    item, term, count = item[shared], term[shared], count[shared]
+    length = np.array([len(x) for x in items], dtype=float)
+    weight = corpus.rarity(term) * count * (K1 + 1) / (count + corpus.norm(length)[item])
+    order = np.lexsort((term, -weight, item))
+    item, term = item[order], term[order]
+    rank = np.arange(len(item)) - np.searchsorted(item, item)
+    for k in range(KEYS):
+        here = rank == k
+        keys[item[here]] |= (term[here] + 1) << (KEY_BITS * (KEYS - 1 - k))
+    return keys
+
+
 class Index:
-    """BM25 inverted index of one shard's items."""
+    """BM25 inverted index of one shard's items, with the counts of the corpus."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], corpus: Corpus | None = None):
+        corpus = corpus or counted(items)
         length = np.array([len(x) for x in items], dtype=float)
-        owner = np.repeat(np.arange(len(items), dtype=np.int64), [len(x) for x in items])
-        # One sort for all items: an item's terms stand together, in order.
-        pairs, count = np.unique(owner << 32 | np.concatenate(items).astype(np.int64), return_counts=True)
-        item, term = pairs >> 32, pairs & 0xFFFFFFFF
+        item, term, count = item_terms(items)
         sizes = np.bincount(item, minlength=len(items))
         used, self.code = np.unique(term, return_inverse=True)
         holders = np.bincount(self.code, minlength=len(used))
-        rarity = np.log1p((len(items) - holders + 0.5) / (holders + 0.5))
-        norm = K1 * (1 - B + B * length / length.mean())
-        self.weight = rarity[self.code] * count * (K1 + 1) / (count + norm[item])
+        self.weight = corpus.rarity(term) * count * (K1 + 1) / (count + corpus.norm(length)[item])
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         order = np.argsort(self.code, kind="stable")
         self.holder, self.impact = item[order], self.weight[order]
@@ -208,22 +259,27 @@ class Index:
         return order[: np.count_nonzero(scores > 0)]
 
 
-def packed(documents: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of one shard's documents."""
+def packed(
+    documents: list[np.ndarray], whole: list[int] | None = None, corpus: Corpus | None = None
+) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) of one shard's documents.
+
+    With ``whole``, documents are given without their full windows, whose numbers it holds.
+    """
+    if whole is None:
+        whole = [len(ids) // WINDOW for ids in documents]
+        documents = [ids[n * WINDOW :] for ids, n in zip(documents, whole, strict=True)]
     out, sequence = [], 0
-    starts = []
-    for i, ids in enumerate(documents):
-        whole = len(ids) // WINDOW
-        for k in range(whole):
+    for i, n in enumerate(whole):
+        for k in range(n):
             out.append((i, k * WINDOW, WINDOW, sequence, 0))
             sequence += 1
-        starts.append(whole * WINDOW)
-    owner = [i for i, ids in enumerate(documents) if starts[i] < len(ids)]
+    owner = [i for i, ids in enumerate(documents) if len(ids)]
     if not owner:
         return out
-    begin = [starts[i] for i in owner]
-    left = np.array([len(documents[i]) - starts[i] for i in owner])
-    index = Index([documents[i][starts[i] :] for i in owner])
+    begin = [whole[i] * WINDOW for i in owner]
+    left = np.array([len(documents[i]) for i in owner])
+    index = Index([documents[i] for i in owner], corpus)
     free = np.ones(len(owner), bool)
     by_size = iter(np.lexsort((np.arange(len(owner)), -left)).tolist())
 
@@ -289,45 +345,128 @@ def cut_last(window, filled: int, sequence: int) -> Iterator[tuple[int, int, int
             start, length, offset = start + part, length - part, offset + part
 
 
+def numbers_of(codes: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(c, dtype="<u4") for c in codes]
+
+
+def coded(documents: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, tokens, crcs, rest, nth): crc32 of each full window, and the ids left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, nth = Ids(path), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            codes = ids.of(byte_rows(batch.column(1)))
+            ends = [len(c) // (4 * WINDOW) * (4 * WINDOW) for c in codes]
+            crcs = [
+                [zlib.crc32(c[a : a + 4 * WINDOW]) for a in range(0, end, 4 * WINDOW)]
+                for c, end in zip(codes, ends, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(c) // 4 for c in codes], pa.int64()),
+                    pa.array(crcs, pa.list_(pa.int64())),
+                    pa.array([c[end:] for c, end in zip(codes, ends, strict=True)], pa.binary()),
+                    pa.array(range(nth, nth + len(codes)), pa.int64()),
+                ],
+                ["doc_id", "tokens", "crcs", "rest", "nth"],
+            )
+            nth += len(codes)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, tokens long, crcs array<long>, rest binary, nth long"
+    )
+
+
+def corpus_counts(items: DataFrame) -> Corpus:
+    """Counts over all items; a task returns one row for each term it met and one of totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, tokens = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            rests = [x for x in numbers_of(batch.column(0).to_pylist()) if len(x)]
+            if rests:
+                found = counted(rests)
+                if len(found.held) > len(held):
+                    held = np.pad(held, (0, len(found.held) - len(held)))
+                held[: len(found.held)] += found.held
+                total, tokens = total + found.items, tokens + found.tokens
+        terms = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([[-2, -1], terms]), pa.int64()),
+                pa.array(np.concatenate([[total, tokens], held[terms]]), pa.int64()),
+            ],
+            ["term", "n"],
+        )
+
+    sums = items.select("rest").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = sums.toArrow()
+    by_term = dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
+    total, tokens = by_term.pop(-2, 0), by_term.pop(-1, 0)
+    held = np.zeros(max(by_term, default=0) + 1, np.int64)
+    held[list(by_term)] = list(by_term.values())
+    return Corpus(held, total, tokens)
+
+
+def dealt(items: DataFrame, corpus) -> DataFrame:
+    """Items with their lexical keys, in ranges of keys and sorted in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = lexical_keys(numbers_of(batch.column(3).to_pylist()), corpus.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], [*batch.schema.names, "lexical"])
+
+    schema = "doc_id long, tokens long, crcs array<long>, rest binary, nth long, lexical long"
+    keyed = items.mapInArrow(run, schema).withColumn("spread", F.xxhash64("doc_id", "rest"))
+    order = ["lexical", "spread", "nth"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def pieces(documents: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    items = stored(coded(documents, path), "packing-items")
+    corpus = documents.sparkSession.sparkContext.broadcast(corpus_counts(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
         high, sequence = TaskContext.get().partitionId() << 36, 0
-        names, codes, held = [], [], 0
+        held, some = 0, []
 
         def flush() -> pa.RecordBatch:
-            nonlocal names, codes, held, sequence
-            rows = packed([np.frombuffer(c, dtype="<u4") for c in codes])
+            nonlocal some, held, sequence
+            whole = [len(crcs) for _, _, crcs, _ in some]
+            rows = packed(numbers_of([rest for *_, rest in some]), whole, corpus.value)
+
+            def crc(i: int, start: int, length: int) -> int:
+                at = start - whole[i] * WINDOW
+                _, _, crcs, rest = some[i]
+                return crcs[start // WINDOW] if at < 0 else zlib.crc32(rest[4 * at : 4 * (at + length)])
+
             columns = [
-                pa.array([names[i] for i, *_ in rows], pa.int64()),
+                pa.array([some[i][0] for i, *_ in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([r[2] for r in rows], pa.int64()),
-                pa.array([zlib.crc32(codes[i][4 * s : 4 * (s + n)]) for i, s, n, _, _ in rows], pa.int64()),
-                pa.array([len(codes[i]) // 4 for i, *_ in rows], pa.int64()),
+                pa.array([crc(*r[:3]) for r in rows], pa.int64()),
+                pa.array([some[i][1] for i, *_ in rows], pa.int64()),
                 pa.array([high + sequence + r[3] for r in rows], pa.int64()),
                 pa.array([r[4] for r in rows], pa.int64()),
             ]
             sequence += max((r[3] for r in rows), default=-1) + 1
-            names, codes, held = [], [], 0
+            some, held = [], 0
             return pa.RecordBatch.from_arrays(
                 columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             )
 
         for batch in batches:
-            for doc_id, code in zip(
-                batch.column(0).to_pylist(), ids.of(byte_rows(batch.column(1))), strict=True
-            ):
-                names.append(doc_id)
-                codes.append(code)
-                held += len(code) // 4
-                if held >= SHARD_TOKENS or len(names) >= SHARD_DOCUMENTS:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                some.append(row)
+                held += len(row[3]) // 4
+                if held >= SHARD_TOKENS or len(some) >= SHARD_DOCUMENTS:
                     yield flush()
-        if names:
+        if some:
             yield flush()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return dealt(items, corpus).select("doc_id", "tokens", "crcs", "rest").mapInArrow(
         run,
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

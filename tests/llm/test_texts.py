@@ -379,3 +379,29 @@ def test_seed_asks_with_all_its_terms():
     free = np.ones(len(documents), bool)
     free[0] = False
     assert sorted(packing.Index(documents).neighbours(0, free)) == list(range(1, 51))
+
+
+def test_counts_and_neighbours_cover_the_corpus(spark, frame):
+    """Counts are those of all rows, and one topic's documents meet although they lie apart."""
+    rng = random.Random(5)
+    topics = [[f"{a}{b}" for a in "bdfgk" for b in ends] for ends in (("ar", "ul"), ("ish", "oon"), ("ent", "ock"), ("ame", "ife"))]
+    rows = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(300))) for i in range(96)]
+    table = frame(rows).repartition(8, "doc_id")
+    tool = Tokenizer.from_file(PATH)
+    codes = [np.array(tool.encode(t, add_special_tokens=False).ids + [1]) for _, t in rows]
+    found = packing.corpus_counts(packing.coded(table, PATH))
+    assert (found.items, found.tokens) == (96, sum(map(len, codes)))
+    held = Counter(x for c in codes for x in set(c.tolist()))
+    assert {t: n for t, n in enumerate(found.held.tolist()) if n} == held
+    together = defaultdict(Counter)
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for r in packing.pieces(table, PATH).collect():
+            together[r.sequence_id][r.doc_id % 4] += r.length
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    own = sum(max(c.values()) for c in together.values())
+    assert own > 0.85 * found.tokens
+    before = Counter(r.partition for r in table.selectExpr("spark_partition_id() partition").collect())
+    assert len(before) > 1
