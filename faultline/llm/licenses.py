@@ -6,6 +6,9 @@ Method
    marks and semicolons that white space follows.
 2. Sentences are normalised: lower case, spellings of licence, comment signs and other signs
    dropped, white space made one space.
+   A known sentence may go over several lines of a paragraph: lines are also read together
+   with those that follow, up to a full stop, a blank line or a line of signs only. If that
+   finds one, unknown sentences of the text are counted whole, else line by line.
 3. A table gives known licence sentences their identifiers; some are matched by a pattern,
    since names and years stand in them.
 4. Identifiers of neighbouring known sentences (no more than ``GAP`` unknown ones between
@@ -13,7 +16,8 @@ Method
    identifiers occurs in it, one after another, names the licence, and what it used up is
    not read again. Known sentences that no rule uses are ``unknown``.
 
-All of it is built-in expressions on one row, so there is no shuffle.
+All of it is built-in expressions on one row, so there is no shuffle. The DuckDB form reads
+single lines only; both agree on texts without wrapped or widely spaced licence sentences.
 
 Cases
 -----
@@ -68,7 +72,20 @@ RULES = [
 ]
 #: Any known sentence holds one of these, so other sentences are not normalised at all.
 HINT = "(?i)licen[sc]e|copyright|rights reserved|redistribut|permission|public domain|warranty|free software|the names? of"
-SPLIT = "\\n+|(?<=[.!?;])\\s+"
+#: The same with any white space or signs between the words, as at the ends of wrapped lines.
+WIDE_HINT = HINT.replace(" ", "[^a-zA-Z0-9]+")
+#: A text's paragraph ends are marked before it is split.
+MARK = "\u0001"
+PARAGRAPH_END = "(\\S)(?=[^\\S\\n]*\\n\\s*\\n)"
+SPLIT = f"\\n+|(?<=[.!?;]{MARK}?)\\s+"
+
+
+def wrapped(pattern: str) -> str:
+    """A sentence's pattern over lines that ends of lines part, up to the end of a line."""
+    if pattern.endswith(".*"):
+        pattern = pattern[:-2] + "[^\\n|]*"
+    pattern = pattern.replace(" .* ", " [^|@]*? ").replace(" ", "[ \\n]")
+    return f"(?m)^(?:{pattern})(?=[\\n|]|\\z)"
 
 
 def normalised(sentence: Column) -> Column:
@@ -87,19 +104,48 @@ def identifier(sentence: Column) -> Column:
     return known
 
 
-def sequences(text: Column) -> Column:
-    """Known sentences of a text in order: 'id ' each, and '| ' where a sequence ends."""
-    sentences = F.filter(F.split(text, SPLIT), lambda s: F.trim(s) != "")
-    placed = F.transform(
-        sentences,
-        lambda s, i: F.struct(
-            i.alias("place"), F.when(s.rlike(HINT), identifier(normalised(s))).alias("id")
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def marked_lines(text: Column) -> Column:
+    """Lines of normalised sentences or parts of them: '@id' for known ones, '@+id' for those
+    that were wrapped over lines, '|' after the last line of a sentence or paragraph."""
+    lines = F.filter(F.split(F.regexp_replace(text, PARAGRAPH_END, "$1" + MARK), SPLIT), lambda s: F.trim(s) != "")
+    plain = F.transform(lines, lambda s: F.struct(s.alias("s"), normalised(s).alias("n")))
+    read = F.transform(
+        plain,
+        lambda x: F.concat(
+            F.coalesce(F.when(x["s"].rlike(WIDE_HINT), F.concat(F.lit("@"), identifier(x["n"]))), x["n"]),
+            F.when((x["n"] == "") | x["s"].rlike(f"[.!?;{MARK}]\\s*$"), "|").otherwise(""),
         ),
     )
-    known = F.filter(placed, lambda x: x["id"].isNotNull())
+    out = F.array_join(read, "\n")
+    for name, pattern in SENTENCES.items():
+        out = F.regexp_replace(out, wrapped(pattern), f"@+{name}")
+    return out
+
+
+def sequences(text: Column) -> Column:
+    """Known sentences of a text in order: 'id ' each, and '| ' where a sequence ends."""
+
+    def placed(lines: Column) -> Column:
+        # Places are lines, or whole sentences where a known one is wrapped.
+        parts = F.when(lines.contains("@+"), F.split(lines, "\\|[\\n|]*")).otherwise(F.split(lines, "\n"))
+        return F.flatten(
+            F.transform(
+                parts,
+                lambda part, i: F.transform(
+                    F.regexp_extract_all(part, F.lit("@\\+?([a-z0-9-]+)"), F.lit(1)),
+                    lambda name: F.struct(i.alias("place"), name.alias("id")),
+                ),
+            )
+        )
+
     start = F.struct(F.lit(-1).alias("place"), F.lit("").alias("read"))
     folded = F.aggregate(
-        known, start,
+        bound(marked_lines(text), placed), start,
         lambda so_far, x: F.struct(
             x["place"].alias("place"),
             F.concat(
@@ -116,7 +162,7 @@ def scan(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, n_license_sentences, sequence, licenses, kinds, n_unknown)."""
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").rlike(HINT), sequences(F.col("text"))).otherwise("").alias("sequence"),
+        F.when(F.col("text").rlike(WIDE_HINT), sequences(F.col("text"))).otherwise("").alias("sequence"),
     )
     rows = rows.withColumn("sequence", F.coalesce("sequence", F.lit("")))
     left, found, kinds = F.regexp_replace("sequence", "([^ ]+) ", " $1 "), [], []

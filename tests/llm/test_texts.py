@@ -268,6 +268,47 @@ def test_license_rules(frame):
     assert licenses.scan(frame([])).count() == 0
 
 
+def test_wrapped_licenses(frame):
+    mit = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse products."""
+    apache = """Licensed under the Apache License,
+Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy
+of the License at"""
+    rows = [
+        (1, mit), (2, "\n".join(" * " + x for x in mit.split("\n"))), (3, mit.replace("\n", "\r\n")), (4, bsd),
+        (5, "\n".join("# " + x for x in bsd.split("\n"))), (6, apache), (7, "\n".join("// " + x for x in apache.split("\n"))),
+        (8, "All  rights\treserved"), (9, "All rights\n\nreserved"), (10, "see all rights\nreserved"),
+        (11, "Released under the\nMIT License. Words."),
+    ]
+    got = {r.doc_id: (r.n_license_sentences, r.licenses) for r in licenses.scan(frame(rows)).collect()}
+    assert got == {
+        1: (4, "MIT"), 2: (4, "MIT"), 3: (4, "MIT"), 4: (2, "BSD-3-Clause"), 5: (2, "BSD-3-Clause"),
+        6: (2, "Apache-2.0"), 7: (2, "Apache-2.0"), 8: (1, "All-Rights-Reserved"), 9: (0, ""), 10: (0, ""),
+        11: (1, "MIT"),
+    }
+
+
 # Packing
 
 
