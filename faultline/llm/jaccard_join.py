@@ -100,33 +100,38 @@ def set_keys(hashes: np.ndarray, least_percent: int, tiles: list[tuple[int, int]
 
 
 def referred(documents: DataFrame) -> DataFrame:
-    """Adds ``ref``, by which a text can be found again: the doc_id, or for null a hash."""
+    """Adds ``ref``, by which a text can be found again: the doc_id, or for null a hash.
+
+    ``key`` is the hash of the text, which tells rows of one doc_id apart.
+    """
     doc_id = F.col("doc_id").cast("long")
     return documents.select(
-        doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("ref"), "text"
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("ref"),
+        F.xxhash64("text").alias("key"), "text",
     )
 
 
 def profiles(documents: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, ref, size of its set, and the set's 128-bit and 64-bit names."""
+    """Per row: doc_id, ref, key, size of its set, and the set's 128-bit and 64-bit names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [lower_set(data, width) for data in byte_rows(batch.column(2))]
+            sets = [lower_set(data, width) for data in byte_rows(batch.column(3))]
             nodes = [digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array([n and short_node(n) for n in nodes], pa.int64()),
                 ],
-                ["doc_id", "ref", "n_shingles", "node", "short"],
+                ["doc_id", "ref", "key", "n_shingles", "node", "short"],
             )
 
     return referred(documents).mapInArrow(
-        run, "doc_id long, ref long, n_shingles long, node binary, short long"
+        run, "doc_id long, ref long, key long, n_shingles long, node binary, short long"
     )
 
 
@@ -379,8 +384,8 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def jaccard_groups(documents: DataFrame, width: int = 4, least_percent: int = 85) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``documents``."""
+def grouped_rows(documents: DataFrame, width: int, least_percent: int) -> DataFrame:
+    """Per row: doc_id, ref, key, n_shingles, and doc_id and key of its component's first row."""
     rows = stored(profiles(documents, width), "profiles")
     named = rows.filter("node is not null")
     hub = F.min("short").over(Window.partitionBy("key"))
@@ -415,38 +420,58 @@ def jaccard_groups(documents: DataFrame, width: int = 4, least_percent: int = 85
     more = more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     far = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    nodes = named.groupBy("node").agg(F.min("doc_id").alias("least"))
+    # A component's first row: by doc_id, null last, then by text.
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    nodes = named.groupBy("node").agg(first_row.alias("least"))
     rooted = nodes.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = rooted.join(far, "root", "left").withColumn("root", F.coalesce("top", "root"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(tops, "root").select("node", "component_id")
-    found = named.join(names, "node").select("doc_id", "n_shingles", "component_id")
-    empty = rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(empty)
+    tops = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    names = rooted.select("node", "root").join(tops, "root").select("node", "least")
+    found = named.join(names, "node")
+    empty = rows.filter("node is null")
+    return found.select(
+        "doc_id", "ref", "key", "n_shingles", F.col("least.doc_id").alias("component_id"),
+        F.col("least.key").alias("first_key"),
+    ).union(
+        empty.select("doc_id", "ref", "key", "n_shingles", F.col("doc_id").alias("component_id"), "key")
+    )
+
+
+def jaccard_groups(documents: DataFrame, width: int = 4, least_percent: int = 85) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``documents``."""
+    return grouped_rows(documents, width, least_percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(documents: DataFrame, width: int = 5, least_percent: int = 80) -> DataFrame:
-    """One document of each group: the one that names it; texts without words stay.
+    """One row of each group: the one that names it; texts without words stay.
 
-    Of rows that repeat the naming doc_id, the one with the least text stays; rows without
-    doc_id stay.
+    Rows are told apart by doc_id and text. Of a group's rows with the naming doc_id, and of
+    groups without doc_id, the row whose text has the least hash stays; of rows that repeat
+    it, one.
     """
-    groups = stored(jaccard_groups(documents, width, least_percent).filter("n_shingles > 0"), "groups")
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_ref")).distinct()
-    twice = groups.groupBy(F.col("doc_id").alias("_ref")).count()
-    twice = stored(twice.filter("count > 1 and _ref is not null").select("_ref"), "twice")
+    groups = grouped_rows(documents, width, least_percent).filter("n_shingles > 0")
+    groups = stored(
+        groups.select(
+            F.col("ref").alias("_ref"), F.col("key").alias("_key"),
+            (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("first_key"))).alias("first"),
+        ),
+        "groups",
+    )
+    names = ["_ref", "_key"]
+    gone = groups.filter("not first").select(*names).distinct()
+    twice = groups.filter("first").groupBy(*names).count()
+    twice = stored(twice.filter("count > 1").select(*names), "twice")
     packed = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
-        F.col("doc_id").cast("long").alias("_ref"),
-    )
-    doubtful = left_out(thinned(packed, gone, "_ref"), gone, ["_ref"])
+        F.xxhash64("text").alias("_key"),
+    ).withColumn("_ref", F.coalesce(F.col("_row.doc_id").cast("long"), "_key"))
+    doubtful = left_out(thinned(packed, gone, "_ref"), gone, names)
     kept = surely_without(packed, gone, "_ref").unionByName(doubtful)
     if not twice.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("_ref").orderBy("_row.text"))
-        again = thinned(kept, twice, "_ref").join(twice, "_ref").withColumn("_rank", rank)
-        again = again.filter("_rank = 1").drop("_rank")
-        once = left_out(thinned(kept, twice, "_ref"), twice, ["_ref"])
-        kept = surely_without(kept, twice, "_ref").unionByName(once).unionByName(again)
+        again = thinned(kept, twice, "_ref").join(twice, names)
+        again = again.groupBy(*names).agg(F.first("_row").alias("_row"))
+        once = left_out(thinned(kept, twice, "_ref"), twice, names)
+        kept = surely_without(kept, twice, "_ref").unionByName(once).unionByName(again.select(*kept.columns))
     return kept.select("_row.*")
 
 

@@ -100,6 +100,16 @@ def test_one_of_each(frame, prose):
     assert got == sorted((str(i), t or "") for i, t in want)
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(frame, prose):
+    near, other, nameless = prose(23, 100), prose(24, 100), prose(25, 100)
+    rows = [(1, near), (5, edited(near, [50])), (5, other), (6, prose(26, 100)), (6, prose(27, 100)),
+            *[(None, nameless)] * 40, *[(None, edited(nameless, [i])) for i in (3, 50)], (None, near)]
+    got = [(r.doc_id, r.text) for r in one_of_each(frame(rows)).collect()]
+    want = {(1, near), (5, other), (6, prose(26, 100)), (6, prose(27, 100))}
+    assert {x for x in got if x[0] is not None} == want and len(got) == 5
+    assert [t for i, t in got if i is None][0] in {nameless, edited(nameless, [3]), edited(nameless, [50])}
+
+
 def repeats(rows, width=20):
     """(doc_id, words, removed, sha256) and kept words; rows of one doc_id and text are one."""
     seen, out, kept = {}, [], []
