@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import (
-    compression_quality, fingerprints, jaccard_join, licenses, mixing, packing, quality_rules,
-    sharding, substring_dedup, toxicity,
+    bbit_minhash, compression_quality, fingerprints, jaccard_join, licenses, mixing, packing,
+    periodic_runs, quality_rules, sharding, spelling_variants, substring_dedup, toxicity,
 )
 from faultline.llm.shipping import ready
 
@@ -106,3 +106,19 @@ def op10_mix(spark, sf_dir):
         "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+@query(sql=spelling_variants.SQL)
+def op11_spelling_variants(spark, sf_dir):
+    words = spelling_variants.with_slips(documents(spark, sf_dir), 7)
+    return spelling_variants.variant_groups(words)
+
+
+@query(sql=bbit_minhash.SQL)
+def op12_bbit_minhash(spark, sf_dir):
+    return bbit_minhash.minhash_groups(documents(spark, sf_dir))
+
+
+@query(sql=periodic_runs.SQL)
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(documents(spark, sf_dir))

@@ -173,3 +173,18 @@ def test_hashes_depend_on_words_only(prose):
 def test_long_words_cross_slices():
     text = b"a" * 3_000_000 + b" b " + b"c" * 1_500_000
     assert len(word_hashes(np.frombuffer(text, np.uint8))) == 3
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_long_words_are_told_apart(frame, prose, size):
+    """Words with equal sums modulo 2^64 for every odd base: a Thue-Morse word and its mirror."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate({97: "b", 98: "a"})
+    mirror = word.translate({97: "b", 98: "a"})
+    before, after = prose(31, 12), prose(32, 13)
+    rows = [(1, f"{before} {word} {after}"), (2, f"{before} {mirror} {after}"), (3, word), (4, mirror)]
+    assert Counter(map(tuple, jaccard_groups(frame(rows)).collect())) == groups(rows, 4, 85)
+    assert [r["n_removed"] for r in dedup_digests(frame(rows)).collect()] == [0] * 4
+    hashes = [word_hashes(np.frombuffer(w.encode(), np.uint8))[0] for w in (word, mirror, word + "a")]
+    assert len(set(hashes)) == 3

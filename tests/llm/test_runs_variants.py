@@ -1,0 +1,232 @@
+"""Periodic runs and spelling variants against plain loops."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import pytest
+
+from faultline.llm import periodic_runs as pr
+from faultline.llm import spelling_variants as sv
+
+WORD = re.compile("[^\\x20\\x09-\\x0D]+")
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def lyndon_by_definition(letters):
+    out = []
+    for i in range(len(letters)):
+        ends = range(i + 1, len(letters) + 1)
+        words = [letters[i:j] for j in ends]
+        out.append(max(len(w) for w in words if all(w < w[k:] for k in range(1, len(w)))))
+    return out
+
+
+def runs_by_definition(words, least, times):
+    """Every period in turn, from the smallest."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i + q < len(words):
+            begin = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            length = i + q - begin
+            if i > begin and length >= max(least, times * q):
+                found.setdefault((begin, length), q)
+            i = max(i, begin + 1)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def test_lyndon_arrays():
+    rng = random.Random(1)
+    for _ in range(400):
+        letters = [rng.randrange(rng.choice([1, 2, 3, 6])) for _ in range(rng.randrange(1, 24))]
+        ranks = sorted(set(letters))
+        letters = [ranks.index(x) for x in letters]
+        assert pr.lyndon_array(letters) == lyndon_by_definition(letters)
+
+
+@pytest.mark.parametrize("least, times", [(24, 3), (6, 3), (3, 3), (12, 4), (40, 5)])
+def test_runs_of_random_words(least, times):
+    rng = random.Random(least)
+    for _ in range(250):
+        kinds, words = rng.choice([1, 2, 3, 5]), []
+        while len(words) < 90:
+            part = [b"%d" % rng.randrange(kinds) for _ in range(rng.randrange(1, 9))]
+            words += part * rng.choice([1, 1, 2, 3, 5, 9])
+        words = words[: rng.randrange(1, 90)]
+        assert pr.text_runs(words, least, times) == runs_by_definition(words, least, times)
+
+
+def test_nested_and_neighbouring_runs():
+    words = b"a b c".split() * 10 + b"a b".split() * 20 + b"x".split() + b"a".split() * 30
+    assert pr.text_runs(words) == runs_by_definition(words, 24, 3)
+    inner = (b"a".split() * 26 + b"b".split()) * 4  # runs of period 1 in a run of period 27
+    assert pr.text_runs(inner) == runs_by_definition(inner, 24, 3)
+    assert len(pr.text_runs(inner)) == 5
+    assert pr.text_runs(b"a b c d e f g h".split() * 3) == [(0, 24, 8)]
+    assert pr.text_runs((b"a b c d e f g h".split() * 3)[:23]) == []
+    assert pr.text_runs(b"a b c d e f g h i".split() * 3) == [(0, 27, 9)]
+    assert pr.text_runs((b"a b c d e f g h i".split() * 3)[:26]) == []
+
+
+def test_windows_that_share_a_hash_only_cost_time(monkeypatch):
+    words = b"a b c".split() * 10 + [b"%d" % i for i in range(50)]
+    expected = pr.text_runs(words)
+    monkeypatch.setattr(pr, "window_hashes", lambda w, n: w[: len(w) - n + 1] * 0)
+    assert pr.text_runs(words) == expected
+
+
+def edited(doc_id, text):
+    words = WORD.findall(text or "")
+    code = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if code % 10 == 0 and words:
+        g, n = code // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def digests(doc_id, text, least=24, times=3):
+    words = edited(doc_id, text)
+    runs = runs_by_definition(words, least, times) if len(words) < 3000 else sorted(
+        (s, n, q) for s, n, q in pr.text_runs([w.encode() for w in words])
+    )
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+    return (
+        doc_id, len(runs), *best, best[1] and 1000 * best[1] // best[2],
+        sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)),
+        sha(" ".join(w for i, w in enumerate(words) if i not in gone)),
+    )
+
+
+def test_digests_of_documents(frame, odd, prose):
+    rows = list(odd)
+    rows += [(k, prose(k, 30 + k % 90)) for k in range(20, 90)]
+    rows += [(100, "la " * 60), (101, "he said no . " * 9 + prose(3, 20) + " again and again" * 12)]
+    rows += [(102, ("a " * 26 + "b ") * 5), (103, "é ü " * 13 + "É Ü " * 13)]
+    found = pr.run_digests(frame(rows))
+    assert found.columns == [
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
+    ]
+    assert Counter(map(tuple, found.collect())) == Counter(digests(*row[:2]) for row in rows)
+    assert sum(zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows if r[0] is not None) > 3
+
+
+def test_runs_are_real_outputs(frame):
+    rows = [(None, "so so so so so so"), (2, "a b a b a b c")]
+    found = {r["doc_id"]: r for r in pr.periodic_runs(frame(rows), least=6).collect()}
+    assert found[None]["collapsed"] == "so" and [tuple(r) for r in found[None]["runs"]] == [(0, 6, 1)]
+    assert found[2]["collapsed"] == "a b c" and found[2]["n_words"] == 7
+    assert pr.run_digests(frame([])).count() == 0
+    with pytest.raises(ValueError):
+        pr.periodic_runs(frame(rows), times=2)
+
+
+def test_a_long_text_of_one_word():
+    assert pr.text_runs([b"x"] * 300_000) == [(0, 300_000, 1)]
+    assert pr.text_runs([b"x", b"y"] * 100_000 + [b"z"]) == [(0, 200_000, 2)]
+
+
+# Spelling variants
+
+
+def counted(rows):
+    words = Counter()
+    for doc_id, text in rows:
+        for run in LETTERS.findall(text or ""):
+            run = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            code = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if code % 31 == 0:
+                run = run[: code % len(run)] + run[code % len(run) + 1 :]
+            words[run] += 1
+    return words
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def groups_by_definition(counts, letters=7, least=2, ratio=10):
+    counts = {w: n for w, n in counts.items() if len(w) >= letters and n >= least}
+    rows, form = {}, {}
+    for word, n in counts.items():
+        near = [v for v in counts if one_edit(word, v)]
+        best = min(near, key=lambda v: (-counts[v], v), default=None)
+        form[word] = best if best and counts[best] >= ratio * n else None
+        rows[word] = (n, len(near))
+    out = Counter()
+    for word, (n, near) in rows.items():
+        root = word
+        while form[root]:
+            root = form[root]
+        out[word, form[word], root, n, near, form[word] and counts[form[word]]] += 1
+    return out
+
+
+def test_variants_of_documents(frame, odd):
+    rng = random.Random(4)
+    words = ["keyboard", "rainbow", "Straßen", "CAFÉTERIA", "abcdefgh", "naïvement", "seventy"]
+    rows = [(r[0], r[1]) for r in odd]
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(40)]
+        for i in rng.sample(range(40), 4):
+            w, p = text[i], rng.randrange(len(text[i]))
+            text[i] = rng.choice([w[:p] + w[p + 1 :], w[:p] + rng.choice("aé") + w[p:], w[:p] + "x" + w[p + 1 :]])
+        rows.append((100 + k, rng.choice([" ", ", ", "-1"]).join(text)))
+    found = sv.variant_groups(sv.with_slips(frame(rows), 7))
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    expected = groups_by_definition(counted(rows))
+    assert Counter(map(tuple, found.collect())) == expected
+    assert any(row[1] for row in expected) and any(row[4] > 3 for row in expected)
+
+
+def table(spark, counts):
+    rows = [(w,) for w, n in counts.items() for _ in range(n)]
+    return spark.createDataFrame(rows, "word string").repartition(4)
+
+
+def test_chains_and_ties(spark):
+    counts = {
+        "abcdefgh": 3000, "abcdefg": 300, "abcdef": 900, "abcdefx": 30, "abcdexx": 3, "abcdxxx": 2,
+        "zzzzzzz": 2, "zzzzzzy": 20, "zzzzzyz": 20, "ÿzzzzzz": 20, "zzzzzzzz": 19, "yyyyyyyyyy": 1,
+        "tatatata": 2, "atatatat": 40,
+    }
+    found = sv.variant_groups(table(spark, counts))
+    assert Counter(map(tuple, found.collect())) == groups_by_definition(counts)
+    roots = {r["word"]: (r["form"], r["root"]) for r in found.collect()}
+    assert roots["abcdexx"] == ("abcdefx", "abcdefgh") and roots["zzzzzzz"][0] == "zzzzzyz"
+    assert roots["tatatata"] == (None, "tatatata") and "abcdef" not in roots
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 4, 8])
+def test_no_near_pair_is_lost(spark, symbols):
+    """Many words that share a reduced word, or halves, with all kinds of edits."""
+    rng = random.Random(symbols)
+    counts = Counter()
+    for _ in range(30):
+        word = "".join(rng.choice("aeßnt") for _ in range(rng.randrange(7, 12)))
+        counts[word] += 2
+        for _ in range(8):
+            p = rng.randrange(len(word) + 1)
+            counts[rng.choice([word[:p] + word[p + 1 :], word[:p] + rng.choice("aeßq") + word[p:],
+                               word[:p] + rng.choice("aeßq") + word[p + 1 :]])] += 2
+    words = {w: n for w, n in counts.items() if len(w) >= 7}
+    rows = spark.createDataFrame(list(words.items()), "word string, n long")
+    found = {(r["word"], r["other"]) for r in sv.near_pairs(rows, symbols).collect()}
+    assert found == {(a, b) for a in words for b in words if one_edit(a, b)}
+
+
+def test_no_words(spark, frame):
+    assert sv.variant_groups(sv.with_slips(frame([]), 7)).collect() == []
+    assert sv.variant_groups(sv.with_slips(frame([(1, None), (2, ""), (3, "short 123")]), 7)).collect() == []
