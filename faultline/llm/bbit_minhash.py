@@ -12,10 +12,12 @@ Method
    minima always agree and others in a quarter of all cases, so the share of agreeing
    places, counted by bits, is corrected to an estimate of the similarity. Pairs more than
    ``SIGMAS`` standard deviations below the threshold are left out.
-4. The others are confirmed on the full sets by exact intersection. Confirmed links form
-   components. Members of a hub's candidates that are not in its component are compared, by signature and
-   then by full sets, with the other members in blocks of bounded size, so a link that does
-   not touch the hub is found as well. Pairs that are connected already are skipped.
+4. Of each node's other pairs one is confirmed on the full sets by exact intersection, rather one
+   that the estimate puts above the threshold. Confirmed links form components. Where candidates
+   of a hub are then in several components, they are compared, by signature and then by full sets,
+   in blocks of bounded size, so every link between components is found, also one that does not
+   touch the hub. Pairs that are connected already are skipped: full sets travel about once
+   for each node, however many copies a group has.
 
 Cases
 -----
@@ -102,36 +104,41 @@ def similarity(places: np.ndarray) -> np.ndarray:
     return (places / FUNCTIONS - chance) / (1 - chance)
 
 
-def least_agreeing(percent: int) -> float:
+def least_agreeing(percent: int, sigmas: float = SIGMAS) -> float:
     """Agreeing places of a pair at the threshold, less its spread."""
     share = percent / 100 + (1 - percent / 100) * 2.0**-BITS
-    return FUNCTIONS * share - SIGMAS * (FUNCTIONS * share * (1 - share)) ** 0.5
+    return FUNCTIONS * share - sigmas * (FUNCTIONS * share * (1 - share)) ** 0.5
 
 
 def profiles(documents: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, ref, key, size and names of its set, band keys and signature."""
+    """Per row: doc_id, ref, key, size and names of its set, band keys and signature.
+
+    Rows that repeat a set of their batch have neither keys nor signature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, tuple[np.ndarray, bytes]] = {}
-            sizes, nodes = [], []
+            known: set[bytes] = set()
+            sizes, nodes, bands, bits = [], [], [], []
             for data in byte_rows(batch.column(3)):
                 hashes = lower_set(data, width)
                 node = digest(hashes) if len(hashes) else None
-                if node and node not in known:
+                first = node is not None and node not in known
+                if first:
+                    known.add(node)
                     least = minima(hashes)
-                    known[node] = (band_keys(least), signature(least))
                 sizes.append(len(hashes))
                 nodes.append(node)
-            none = np.zeros(0, np.uint64)
+                bands.append(band_keys(least) if first else hashes[:0])
+                bits.append(signature(least) if first else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array([n and short_node(n) for n in nodes], pa.int64()),
-                    list_column([known[n][0] if n else none for n in nodes]),
-                    pa.array([known[n][1] if n else None for n in nodes], pa.binary()),
+                    list_column(bands),
+                    pa.array(bits, pa.binary()),
                 ],
                 ["doc_id", "ref", "key", "n_shingles", "node", "short", "bands", "bits"],
             )
@@ -147,33 +154,42 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 
     What follows from the set is equal in all its rows, so any of them may give it.
     """
-    of_set = ["n_shingles", "short", "bands", "bits"]
+    of_set = [("n_shingles", F.col("n_shingles")), ("short", F.col("short")), ("bits", F.col("bits"))]
+    of_set.append(("bands", F.when(F.col("bits").isNotNull(), F.col("bands"))))
     return rows.filter("node is not null").groupBy("node").agg(
-        *[F.first(name).alias(name) for name in of_set],
+        *[F.first(value, ignorenulls=True).alias(name) for name, value in of_set],
         F.min(F.struct("ref", "key")).alias("at"),
         F.min("doc_id").alias("least"),
     )
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b) of pairs (hub, short) whose signatures allow the similarity."""
-    enough = least_agreeing(percent)
+    """Rows (a, b), one for each node a: a hub b that by signature allows the similarity.
+
+    Hubs whose estimate reaches the threshold go first, then the least hub.
+    """
+    enough, expected = least_agreeing(percent), least_agreeing(percent, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                places = agreeing(signatures(batch.column(2)), signatures(batch.column(3)))
-                yield batch.select([0, 1]).filter(pa.array(places >= enough))
+                places = agreeing(signatures(batch.column(3)), signatures(batch.column(4)))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(places < expected)], ["a", "b", "hub", "unsure"]
+                ).filter(pa.array(places >= enough))
 
     names = nodes.select("short", F.col("node").alias("a"), F.col("n_shingles").alias("n"), "bits")
     hubs = names.select(
         F.col("short").alias("hub"), F.col("a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("hub_bits")
     )
     sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    return (
+    found = (
         pairs.join(names, "short").join(hubs, "hub").filter(sizes)
-        .select("a", "b", "bits", "hub_bits").mapInArrow(run, "a binary, b binary")
+        .select("a", "b", "hub", "bits", "hub_bits")
+        .mapInArrow(run, "a binary, b binary, hub long, unsure boolean")
     )
+    best = F.min(F.struct("unsure", "hub", "b"))
+    return found.groupBy("a").agg(best.alias("best")).select("a", "best.b")
 
 
 def full_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -303,7 +319,8 @@ def minhash_groups(documents: DataFrame, width: int = 2, least_percent: int = 80
     open_hubs = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     heads = names.select(F.col("short").alias("hub"), F.col("root").alias("hub_root"))
     heads = heads.groupBy("hub").agg(F.min("hub_root").alias("hub_root"))
-    open_hubs = open_hubs.filter("low != high").join(heads, "hub").select("hub", "hub_root")
+    # Stored, so that the join below is of plain rows, whose hot hubs Spark can split.
+    open_hubs = stored(open_hubs.filter("low != high").join(heads, "hub").select("hub", "hub_root"), "open-hubs")
     placed = stored(
         placed.join(open_hubs, "hub").select(
             "hub", "node", "n", "root", (F.col("root") == F.col("hub_root")).alias("linked")
