@@ -12,8 +12,9 @@ from faultline.operators.filters import filter_exclude_noise
 from faultline.plans import bursts as burst_plans
 from faultline.plans import features as feature_plans
 from faultline.plans import mtbf as mtbf_plans
-from faultline.plans import profiles, reports
+from faultline.plans import profiles, reports, state
 from faultline.plans.features import flag_logs
+from faultline.session import shared_folder
 from faultline.sources.results import scan_results_json
 
 # --- SQL: MTBF --------------------------------------------------------------------
@@ -190,6 +191,38 @@ def agg_percentiles(spark, sf_dir):
     )
 
 
+@query(
+    t.with_logs(
+        "select host, count(*) as gaps, true as p25, true as p50, true as p75, true as p90 from gaps "
+        "where gap is not null group by host",
+        errors=t.ERRORS_SQL,
+        clean=t.CLEAN_SQL,
+        gaps=HOST_GAPS,
+    )
+)
+def agg_percentiles_sketched(spark, sf_dir):
+    """Sketches of days, merged; each percentile's rank among all gaps of the host is close."""
+    gaps = numbered(spark, sf_dir, ["host", "cpu_info"]).where("time_diff_seconds is not null")
+    gaps = gaps.withColumn("day", F.to_date("timestamp"))
+    sketches = aggregates.gap_sketches(gaps, ["host", "day"])
+    merged = aggregates.merged_percentiles(sketches, ["host"])
+    ranks = [
+        F.struct(
+            F.count_if(F.col("time_diff_seconds") < F.col("thresholds")[i]).alias("below"),
+            F.count_if(F.col("time_diff_seconds") <= F.col("thresholds")[i]).alias("up_to"),
+        )
+        for i in range(len(fixed.GAP_PERCENTILES))
+    ]
+    found = gaps.join(merged, "host").groupBy("host", "gaps").agg(F.array(*ranks).alias("ranks"))
+    room = F.col("gaps") * (2 / aggregates.SKETCH_ENTRIES) + 1
+    close = [
+        (F.col("ranks")[i]["below"] <= p * F.col("gaps") + room) & (F.col("ranks")[i]["up_to"] >= p * F.col("gaps") - room)
+        for i, p in enumerate(fixed.GAP_PERCENTILES)
+    ]
+    names = ["p25", "p50", "p75", "p90"]
+    return found.select("host", "gaps", *[column.alias(name) for column, name in zip(close, names, strict=True)])
+
+
 @query(bursts_sql("select group_id, min_timestamp, number_ce_error, count from bursts"))
 def agg_bursts(spark, sf_dir):
     rows = clean(spark, sf_dir)
@@ -442,6 +475,38 @@ def burst_table(spark, sf_dir):
     return bursts(spark, sf_dir)
 
 
+def runs(table, by):
+    """(name, rows) of each run; a run is a month or a day."""
+    name = F.concat(*[F.col(column) for column in by])
+    names = sorted(row[0] for row in table.select(name).distinct().collect())
+    return [(run, table.where(name == run)) for run in names]
+
+
+@query(
+    t.with_logs(
+        f"select * from ({MTBF_SQL}) where period between '202401' and '202402'",
+        t.QUARTER,
+        **MTBF_CTES,
+    )
+)
+def mtbf_of_runs(spark, sf_dir):
+    """Month by month with state; a month's errors are read by its own run only."""
+    folder = shared_folder(spark, "mtbf-runs")
+    for run, rows in runs(t.errors(spark, sf_dir, t.QUARTER), ["year", "month"]):
+        state.add_mtbf_run(rows, folder, run)
+    return state.mtbf_of_runs(spark, folder, "202401", "202402")
+
+
+@query(bursts_sql("select group_id, min_timestamp, number_ce_error, count from bursts"))
+def bursts_of_runs(spark, sf_dir):
+    """Week by week with state; bursts that are open at the end of a run go on in the next."""
+    folder = shared_folder(spark, "burst-runs")
+    errors = t.errors(spark, sf_dir).withColumn("week", F.date_format(F.date_trunc("week", "timestamp"), "yyyyMMdd"))
+    for run, rows in runs(errors, ["week"]):
+        state.add_burst_run(rows, folder, run, tie=["event_id"])
+    return state.bursts_of_runs(spark, folder)
+
+
 @query(
     t.with_logs(
         f"select *, '2024' as year, '01' as month from ({FEATURES_SQL.format(window=3600)}) "

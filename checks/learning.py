@@ -11,7 +11,7 @@ from checks.registry import query
 from faultline import fixed_values as fixed
 from faultline.operators import aggregates, evaluation, sampling, sets, sorting
 from faultline.operators.filters import filter_class
-from faultline.plans import learning
+from faultline.plans import boosting, learning
 from faultline.session import shared_folder
 from faultline.sinks import models
 from faultline.sinks.models import read_model
@@ -191,23 +191,39 @@ def train_lr(spark, sf_dir):
     return scores.select("host", "feature_window_start", "label", steepest.alias("steepest"))
 
 
-@query(
-    ml_sql(
-        "select host, feature_window_start, label_next_hour as label, true as in_range, "
-        "true as above_constant from split where split = 'test'"
-    )
+BOOSTED_SQL = ml_sql(
+    "select host, feature_window_start, label_next_hour as label, true as in_range, "
+    "true as above_constant, true as rounds_help from split where split = 'test'"
 )
-def train_gbt(spark, sf_dir):
-    """All rounds; on its own train rows the model ranks better than a constant score."""
-    train, test = learning.training_tables(features(spark, sf_dir))
-    model = read_model(gbt_model(spark, sf_dir))
+
+
+def boosted(model, train, test):
+    """Scores, whether the model ranks train rows better than a constant, and whether the rounds after
+    the first took away a good part of its loss, which a model of one round cannot do."""
     area = evaluation.eval_roc_auc(learning.score_model(model, train)).scalar()
+    losses = [boosting.log_loss(m, train).scalar() for m in (model, boosting.first_rounds(model, 1))]
     return learning.score_model(model, test).select(
         "host", "feature_window_start", "label",
-        F.col("score").between(0, 1).alias("in_range"), (area > 0.5).alias("above_constant"),
+        F.col("score").between(0, 1).alias("in_range"),
+        (area > 0.5).alias("above_constant"),
+        (losses[0] < 0.8 * losses[1]).alias("rounds_help"),
     )
 
 
+@query(BOOSTED_SQL)
+def train_gbt(spark, sf_dir):
+    """All rounds."""
+    train, test = learning.training_tables(features(spark, sf_dir))
+    return boosted(read_model(gbt_model(spark, sf_dir)), train, test)
+
+
+@query(BOOSTED_SQL)
+def train_boosted(spark, sf_dir):
+    """Thirty rounds of trees that draw their columns once."""
+    train, test = learning.training_tables(features(spark, sf_dir))
+    return boosted(boosting.train_boosted(train, rounds=30), train, test)
+
+
 @query(
     ml_sql(
         "select host, feature_window_start, label_next_hour as label, true as is_sigmoid "
@@ -230,16 +246,57 @@ FEATURE_LIST = ", ".join(f"'{name}'" for name in fixed.MODEL_FEATURES)
 
 
 @query(
-    f"select unnest([{FEATURE_LIST}]) as feature, true as is_share, 1.0::double as total"
+    f"select unnest([{FEATURE_LIST}]) as feature, true as is_share, 1.0::double as total, "
+    "true as several"
 )
 def feature_importance(spark, sf_dir):
+    """Shares that sum to 1, of at least three columns: one split has one column only."""
     train, _ = learning.training_tables(features(spark, sf_dir))
     weights = learning.feature_importance(read_model(gbt_model(spark, sf_dir)), train)
+    whole = Window.partitionBy()
     return weights.select(
         "feature",
         F.col("weight").between(0, 1).alias("is_share"),
-        F.round(F.sum("weight").over(Window.partitionBy()), 6).alias("total"),
+        F.round(F.sum("weight").over(whole), 6).alias("total"),
+        (F.count_if(F.col("weight") > 0).over(whole) >= 3).alias("several"),
+    )
+
+
+@query(
+    ml_sql(
+        "select f.feature, count(*) as rows, sum(label_next_hour)::bigint as positives, "
+        "round(sum(case f.feature "
+        + " ".join(f"when '{name}' then {name}::double" for name in fixed.MODEL_FEATURES)
+        + " end), 4) as total, true as is_right from split, "
+        f"(select unnest([{FEATURE_LIST}]) as feature) f where split = 'test' group by f.feature"
+    )
+)
+def permutation_importance(spark, sf_dir):
+    """Each column's values are exchanged, none is lost, and the loss is that of areas by pairs."""
+    _, test = learning.training_tables(features(spark, sf_dir))
+    model = read_model(lr_model(spark, sf_dir))
+    variants = learning.exchanged(test, fixed.MODEL_FEATURES)
+    value = F.coalesce(*[F.when(F.col("feature") == name, F.col(name).cast("double")) for name in fixed.MODEL_FEATURES])
+    totals = variants.where("feature != ''").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("label").cast("bigint")).alias("positives"),
+        F.round(F.sum(value), 4).alias("total"),
+    )
+    scores = model.transform(variants).select(
+        "feature", "label", vector_to_array("probability").getItem(1).alias("score")
+    )
+    # Mann-Whitney: mean rank of positives among all rows, ties in the middle.
+    by_score = Window.partitionBy("feature").orderBy("score")
+    tied = Window.partitionBy("feature", "score")
+    ranked = scores.withColumn("mid", F.rank().over(by_score) + (F.count(F.lit(1)).over(tied) - 1) / 2)
+    p, n = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    areas = ranked.groupBy("feature").agg(
+        ((F.sum(F.when(F.col("label") == 1, F.col("mid"))) - p * (p + 1) / 2) / (p * n)).alias("area")
     )
+    plain = areas.where("feature = ''").select("area").scalar()
+    found = learning.permutation_importance(model, test).join(areas, "feature").join(totals, "feature")
+    right = F.abs(F.col("weight") - (plain - F.col("area"))) < 1e-9
+    return found.select("feature", "rows", "positives", "total", F.coalesce(right, F.col("weight").isNull()).alias("is_right"))
 
 
 @query(f"select unnest([{FEATURE_LIST}]) as feature, 0.0::double as slope")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import tables as t
 from checks.registry import query
 from faultline.functions.parse import decode_body
+from faultline.plans.collect import typed_memory_errors
 from faultline.plans.features import feature_dataset
 from faultline.plans.mtbf import mtbf
 from faultline.schemas import FEATURES, MEMORY_ERRORS, TYPED_LOGS
@@ -126,6 +127,24 @@ def sink_memory_errors(spark, sf_dir):
     return spark.read.schema(MEMORY_ERRORS).parquet(path)
 
 
+@query(
+    t.with_logs("select timestamp, host, msg, year, month, day from errors", errors=t.ERRORS_SQL)
+)
+def compact_memory_errors(spark, sf_dir):
+    """Days in many small files, rewritten to files by size."""
+    path = shared_folder(spark, "compacted-errors")
+    sinks.write_partitioned(t.errors(spark, sf_dir).select("timestamp", "msg", "host", *sinks.DAY).repartition(8), path, sinks.DAY)
+    sinks.compact_memory_errors(spark, path)
+    return spark.read.schema(MEMORY_ERRORS).parquet(path)
+
+
+@query(t.with_logs("select timestamp, host, msg, year, month, day from errors", 15, errors=t.ERRORS_SQL))
+def filter_memory_errors_marked(spark, sf_dir):
+    """Memory errors of typed logs by their mark, so that other row groups are not read."""
+    path = t.typed_table(spark, sf_dir)
+    return typed_memory_errors(spark, path, "20240101", "20241231")
+
+
 @query(
     t.with_logs(
         "select timestamp, host, cast(severity as varchar) as \"Severity\", msg, year, month, day "

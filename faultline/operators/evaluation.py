@@ -29,6 +29,14 @@ def score_counts(scored: DataFrame) -> DataFrame:
     )
 
 
+def score_ranges(counts: DataFrame, wanted: int) -> DataFrame:
+    """Adds ``_range``, which grows with the score and cuts the rows into even parts."""
+    ranges = QuantileDiscretizer(
+        numBuckets=wanted, inputCol="score", outputCol="_range", relativeError=0.1 / wanted
+    )
+    return ranges.fit(counts).transform(counts)
+
+
 def ranked_scores(scored: DataFrame) -> DataFrame:
     """Distinct scores with running counts of the rows that score at least as high.
 
@@ -40,12 +48,8 @@ def ranked_scores(scored: DataFrame) -> DataFrame:
         F.struct(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     ).scalar()
     tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(LEAST_RANGES, 2 * tasks)
-    ranges = QuantileDiscretizer(
-        numBuckets=wanted, inputCol="score", outputCol="_range", relativeError=0.1 / wanted
-    ).fit(counts)
     running = running_over_chunks(
-        ranges.transform(counts).withColumn("_key", -F.col("score")),
+        score_ranges(counts, max(LEAST_RANGES, 2 * tasks)).withColumn("_key", -F.col("score")),
         keys=[],
         order=["_key"],
         chunk=-F.col("_range"),
@@ -74,6 +78,30 @@ def eval_roc_auc(scored: DataFrame) -> DataFrame:
     )
 
 
+def roc_areas(scored: DataFrame, by: str) -> DataFrame:
+    """The area of every group of rows, such as one for each variant of a feature."""
+    counts = written_table(
+        scored.groupBy(by, "score").agg(
+            F.sum(F.col("label").cast("bigint")).alias("positives"),
+            F.sum(1 - F.col("label").cast("bigint")).alias("negatives"),
+        ),
+        "score-counts",
+    )
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    running = running_over_chunks(
+        score_ranges(counts, max(LEAST_RANGES, 2 * tasks)).withColumn("_key", -F.col("score")),
+        keys=[by],
+        order=["_key"],
+        chunk=-F.col("_range"),
+        amounts=["positives"],
+    )
+    above = F.col("positives_before") + F.col("positives") / 2
+    pairs = F.sum("positives").cast("double") * F.sum("negatives")
+    return running.groupBy(by).agg(
+        F.try_divide(F.sum(F.col("negatives") * above), pairs).alias("roc_auc")
+    )
+
+
 def eval_average_precision(scored: DataFrame) -> DataFrame:
     """Sum over scores of precision times the recall gained there; 0 without positives."""
     gained = F.try_divide(F.col("positives"), F.col("all_positives"))

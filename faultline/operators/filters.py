@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
 from faultline.functions.times import in_time_range
+from faultline.schemas import MEMORY_ERROR_MARK
 
 
 def filter_partition_eq(
@@ -35,11 +36,23 @@ def filter_host_prefixes(
     return table.where(reduce(or_, [F.col("host").startswith(prefix) for prefix in prefixes]))
 
 
+def is_memory_error(msg: Column | str = "msg") -> Column:
+    """Whether a message reports a memory error; NULL for NULL."""
+    msg = F.col(msg) if isinstance(msg, str) else msg
+    return F.upper(msg).like(fixed.UPPER_MESSAGE_LIKE) & F.lower(msg).like(fixed.LOWER_MESSAGE_LIKE)
+
+
 def filter_memory_errors(table: DataFrame) -> DataFrame:
-    msg = F.col("msg")
-    return table.where(
-        F.upper(msg).like(fixed.UPPER_MESSAGE_LIKE) & F.lower(msg).like(fixed.LOWER_MESSAGE_LIKE)
-    )
+    """Memory errors. A table that carries the mark is filtered by it.
+
+    The first condition on the mark reaches the scan, which skips files, row groups and pages
+    without errors before it reads a message. Rows that were written before there was a mark
+    have none, and their messages are looked at.
+    """
+    if MEMORY_ERROR_MARK not in table.columns:
+        return table.where(is_memory_error())
+    mark = F.col(MEMORY_ERROR_MARK)
+    return table.where(mark | mark.isNull()).where(F.coalesce(mark, is_memory_error()))
 
 
 def filter_exclude_noise(table: DataFrame) -> DataFrame:

@@ -9,11 +9,19 @@ window holds more than the seconds of an hour or the hours of the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.sinks.tables import written_table
+
 EARLIER = (Window.unboundedPreceding, -1)
+#: Rows of a slot above which equal rows are counted before they are shuffled.
+CROWDED_SLOT = 1 << 16
+#: Copies of one row that a task puts out together.
+COPIES_AT_ONCE = 1 << 12
 
 
 def running_over_chunks(
@@ -77,23 +85,24 @@ def number_rows(
     tie: Sequence[str],
     timestamp: str = "timestamp",
     spread: Column | None = None,
+    crowded: int = CROWDED_SLOT,
 ) -> DataFrame:
     """Adds ``row_number`` and ``prev_timestamp`` per key, in time order.
 
     Rows without a timestamp come first. Equal timestamps are ordered by ``spread``, a small
     bucket number that splits even a single crowded second, and then by the ``tie`` columns.
     By default it is a hash of every column that can be hashed, so only rows that are equal
-    throughout share a slot. Slots join their rows through
-    a union, so the rows are shuffled once and NULL keys need no special case.
+    throughout share a slot for certain. Rows of slots with more than ``crowded`` rows are
+    counted by equal rows before they are shuffled, and put out again in parts of bounded
+    size, so copies of one row meet in no task. Slot counts are stored when this is called.
     """
     if spread is None:
-        hashed = [f"`{f.name}`" for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
-        spread = F.pmod(F.xxhash64(*hashed), F.lit(64))
+        spread = F.pmod(F.xxhash64(*hashable(rows)), F.lit(64))
     rows = rows.withColumn("_spread", spread)
     slot = [*keys, timestamp, "_spread"]
-
+    counts = written_table(rows.groupBy(*slot).agg(F.count(F.lit(1)).alias("_rows")), "slots")
     slots = running_over_chunks(
-        rows.groupBy(*slot).agg(F.count(F.lit(1)).alias("_rows")),
+        counts,
         keys,
         order=[timestamp, "_spread"],
         chunk=F.date_trunc("hour", timestamp),
@@ -101,27 +110,88 @@ def number_rows(
         last=timestamp,
     )
     heads = slots.select(
-        *slot,
-        F.col("_rows_before").alias("_offset"),
-        F.col("previous").alias("_slot_previous"),
-        F.lit(0).alias("_is_row"),
+        *slot, F.col("_rows_before").alias("_offset"), F.col("previous").alias("_slot_previous")
+    )
+    full = counts.where(F.col("_rows") > crowded)
+    if full.isEmpty():
+        ranked = rank_in_slots(rows, heads, slot, tie)
+    else:
+        marks = full.select(*[F.col(name).alias(f"_{name}_") for name in slot], F.lit(True).alias("_full"))
+        marked = rows.join(marks, same_slot(slot), "left").select(*rows.columns, "_full")
+        calm = marked.where("_full is null").drop("_full")
+        copies = marked.where("_full").drop("_full")
+        ranked = rank_in_slots(calm, heads, slot, tie).unionByName(
+            rank_copies(copies, heads, slot, tie)
+        )
+    return ranked.select(
+        *[name for name in rows.columns if name != "_spread"],
+        F.when(F.col("_rank") == 1, F.col("_slot_previous"))
+        .otherwise(F.col(timestamp))
+        .alias("prev_timestamp"),
+        (F.col("_offset") + F.col("_rank")).alias("row_number"),
     )
+
+
+def hashable(rows: DataFrame) -> list[str]:
+    return [f"`{f.name}`" for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
+def same_slot(slot: Sequence[str]) -> Column:
+    """Whether the columns of a slot equal those named ``_<column>_``; NULL equals NULL."""
+    return reduce(and_, [F.col(name).eqNullSafe(F.col(f"_{name}_")) for name in slot])
+
+
+def rank_in_slots(
+    rows: DataFrame, heads: DataFrame, slot: Sequence[str], tie: Sequence[str]
+) -> DataFrame:
+    """Adds ``_rank`` in the slot and the slot's ``_offset`` and ``_slot_previous``.
+
+    Slots join their rows through a union, so the rows are shuffled once and NULL keys need
+    no special case.
+    """
     in_slot = Window.partitionBy(*slot).orderBy("_is_row", *tie)
     so_far = in_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = rows.withColumn("_is_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    numbered = numbered.select(
+    both = rows.withColumn("_is_row", F.lit(1)).unionByName(
+        heads.withColumn("_is_row", F.lit(0)), allowMissingColumns=True
+    )
+    numbered = both.select(
         *rows.columns,
         "_is_row",
-        (F.row_number().over(in_slot) - 1).alias("_rank"),
+        (F.row_number().over(in_slot) - 1).cast("bigint").alias("_rank"),
         F.first("_offset", ignorenulls=True).over(so_far).alias("_offset"),
         F.first("_slot_previous", ignorenulls=True).over(so_far).alias("_slot_previous"),
     )
-    return numbered.where("_is_row = 1").select(
-        *[name for name in rows.columns if name != "_spread"],
-        F.when(F.col("_rank") == 1, F.col("_slot_previous"))
-        .otherwise(F.col(timestamp))
-        .alias("prev_timestamp"),
-        (F.col("_offset") + F.col("_rank")).alias("row_number"),
+    return numbered.where("_is_row = 1").drop("_is_row")
+
+
+def rank_copies(
+    rows: DataFrame, heads: DataFrame, slot: Sequence[str], tie: Sequence[str]
+) -> DataFrame:
+    """The same for crowded slots: equal rows travel as one row and a count.
+
+    The window sees the distinct rows of a slot. Copies are dealt to tasks in parts before
+    they become rows again.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    in_slot = Window.partitionBy(*slot).orderBy(*tie, F.xxhash64(*hashable(rows)))
+    earlier = F.sum("_copies").over(in_slot.rowsBetween(*EARLIER))
+    placed = counted.withColumn("_earlier", F.coalesce(earlier, F.lit(0).cast("bigint")))
+    known = heads.withColumnsRenamed({name: f"_{name}_" for name in slot})
+    parts = placed.join(known, same_slot(slot)).withColumn(
+        "_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(COPIES_AT_ONCE)))
+    )
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = F.least(F.col("_first") + COPIES_AT_ONCE, F.col("_copies")) - 1
+    nth = F.explode(F.sequence(F.col("_first"), end))
+    return (
+        parts.repartition(tasks)
+        .withColumn("_nth", nth)
+        .select(
+            *rows.columns,
+            (F.col("_earlier") + F.col("_nth") + 1).alias("_rank"),
+            "_offset",
+            "_slot_previous",
+        )
     )
 
 

@@ -30,11 +30,14 @@ def error_rows(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
     )
 
 
-def second_counts(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
+def second_counts(
+    errors: DataFrame, tie: Sequence[str], continued: bool = False
+) -> DataFrame:
     """Per second: rows, rows with a message, and the error numbers, without the first row.
 
     The first row of all has no gap and belongs to no burst. Of several rows in the first
-    second, ``tie`` decides which one that is.
+    second, ``tie`` decides which one that is. Rows that are ``continued`` follow others, so
+    all of them count.
     """
     rows = error_rows(errors, tie)
     zero = F.lit(0).cast("bigint")
@@ -50,6 +53,8 @@ def second_counts(errors: DataFrame, tie: Sequence[str]) -> DataFrame:
         ),
         "second-counts",
     )
+    if continued:
+        return counts.drop("head")
     first, dropped = counts.agg(
         F.unix_micros(F.min("timestamp")), F.min_by("head", "timestamp")
     ).first()

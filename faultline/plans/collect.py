@@ -11,7 +11,7 @@ from faultline.operators.filters import (
     filter_memory_errors,
 )
 from faultline.sinks.tables import sink_memory_errors, sink_typed_logs
-from faultline.sources.tables import scan_logs_range
+from faultline.sources.tables import scan_logs_range, scan_typed_range
 
 ERROR_COLUMNS = ["timestamp", "host", "msg", "year", "month", "day"]
 
@@ -25,6 +25,14 @@ def memory_errors(raw: DataFrame, host: str | None = None) -> DataFrame:
     return filter_memory_errors(typed).select(*ERROR_COLUMNS)
 
 
+def typed_memory_errors(
+    spark: SparkSession, typed: str, date_from: str, date_to: str, host: str | None = None
+) -> DataFrame:
+    """Memory errors out of typed logs, where the mark lets the scan skip all other messages."""
+    rows = scan_typed_range(spark, typed, date_from, date_to)
+    return filter_memory_errors(filter_host_prefixes(filter_host(rows, host))).select(*ERROR_COLUMNS)
+
+
 def collect_typed_logs(
     spark: SparkSession, source: str, path: str, date_from: str, date_to: str
 ) -> None:
@@ -41,3 +49,10 @@ def collect_memory_errors(
 ) -> None:
     raw = scan_logs_range(spark, source, date_from, date_to)
     sink_memory_errors(memory_errors(raw, host), path)
+
+
+def collect_typed_memory_errors(
+    spark: SparkSession, typed: str, path: str, date_from: str, date_to: str, host: str | None = None
+) -> None:
+    """The table of ``collect_memory_errors``, from typed logs instead of raw ones."""
+    sink_memory_errors(typed_memory_errors(spark, typed, date_from, date_to, host), path)

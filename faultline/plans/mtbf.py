@@ -28,13 +28,9 @@ def period_column() -> Column:
     return F.concat(F.col("year"), F.lpad(F.col("month").cast("string"), 2, "0"))
 
 
-def second_gaps(errors: DataFrame) -> DataFrame:
-    """Per CPU and second with errors: the gap of the first error and the number of others.
-
-    The others follow within the second and have gap 0. The first error of a CPU has no
-    gap. Needs host, msg, timestamp, year, month.
-    """
-    seconds = (
+def error_seconds(errors: DataFrame) -> DataFrame:
+    """Per CPU and second with errors: their number. Needs host, msg, timestamp, year, month."""
+    return (
         filter_exclude_noise(errors)
         .where(F.col("timestamp").isNotNull())
         .groupBy(
@@ -45,12 +41,20 @@ def second_gaps(errors: DataFrame) -> DataFrame:
         )
         .agg(F.count(F.lit(1)).alias("errors"))
     )
+
+
+def second_gaps(seconds: DataFrame) -> DataFrame:
+    """Per CPU and second: the gap of the first error and the number of others.
+
+    The others follow within the second and have gap 0. The first error of a CPU has no gap.
+    A second without errors only tells where the next gap starts.
+    """
     by_cpu = Window.partitionBy("period", "host", "cpu_info").orderBy("second")
-    return seconds.select(
-        *HOST,
-        "second",
-        (F.col("second") - F.lag("second").over(by_cpu)).alias("gap"),
-        (F.col("errors") - 1).alias("repeats"),
+    gap = F.col("second") - F.lag("second").over(by_cpu)
+    return (
+        seconds.withColumn("gap", gap)
+        .where("errors > 0")
+        .select(*HOST, "second", "gap", (F.col("errors") - 1).alias("repeats"))
     )
 
 
@@ -88,8 +92,13 @@ def mtbf(errors: DataFrame) -> DataFrame:
 
     ``status`` is sparse, few_bursts (no MTBF) or ok.
     """
-    gaps = second_gaps(errors)
-    percentiles = agg_percentiles(gap_counts(gaps), HOST, "gap", "n")
+    gaps = second_gaps(error_seconds(errors))
+    return mtbf_of(gap_counts(gaps), second_maxima(gaps))
+
+
+def mtbf_of(counts: DataFrame, maxima: DataFrame) -> DataFrame:
+    """The same from counts of gaps and from seconds by largest gap, of one run or several."""
+    percentiles = agg_percentiles(counts, HOST, "gap", "n")
     # A NULL host is many unknown hosts, so it never has enough gaps of its own.
     sparse = (F.col("gaps") <= fixed.MIN_GAPS_EXCLUSIVE) | F.col("host").isNull()
     no_threshold = F.array(F.lit(None).cast("double"))
@@ -98,7 +107,7 @@ def mtbf(errors: DataFrame) -> DataFrame:
             "thresholds", F.when(F.col("sparse"), no_threshold).otherwise(F.col("thresholds"))
         )
     )
-    maxima = second_maxima(gaps).withColumnsRenamed({name: f"_{name}" for name in HOST})
+    maxima = maxima.withColumnsRenamed({name: f"_{name}" for name in HOST})
     same_host = F.col("period").eqNullSafe(F.col("_period")) & F.col("host").eqNullSafe(
         F.col("_host")
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql.types import (
     BinaryType,
+    BooleanType,
     DoubleType,
     IntegerType,
     LongType,
@@ -34,6 +35,12 @@ TYPED_LOGS = StructType(
     ]
 )
 
+#: Column that typed logs carry for readers of memory errors: whether the message is one.
+MEMORY_ERROR_MARK = "memory_error"
+MARKED_LOGS = StructType(
+    [*TYPED_LOGS.fields[:-3], StructField(MEMORY_ERROR_MARK, BooleanType()), *_DATE_PARTITIONS]
+)
+
 MEMORY_ERRORS = StructType(
     [
         StructField("timestamp", TimestampType()),

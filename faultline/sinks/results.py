@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fixed
@@ -16,13 +16,11 @@ HOSTS_PER_DOCUMENT = 500
 def result_documents(
     results: DataFrame, hosts_per_document: int = HOSTS_PER_DOCUMENT
 ) -> DataFrame:
-    """MTBF rows as JSON documents of nested maps, one per period and shard of hosts.
+    """MTBF rows as JSON documents of nested maps, one per period and part of its hosts.
 
-    Hosts are counted first, and there are as many shards as keep a document at about
-    ``hosts_per_document``, however many hosts there are; a reader merges them.
+    The hosts of a period are cut by rank into documents of ``hosts_per_document``; a reader merges
+    them. One pass: nothing is counted before, so a lazy job behind ``results`` runs once.
     """
-    hosts = results.select(F.coalesce("host", F.lit("null"))).distinct().count()
-    shards = max(1, -(-hosts // hosts_per_document))
     value = F.struct(
         "count_before", "count_after", F.col("mtbf_seconds").alias(fixed.RESULT_MTBF_KEY)
     )
@@ -31,11 +29,11 @@ def result_documents(
     by_host = results.groupBy(
         F.concat(F.year(first_day), F.month(first_day)).alias("period"), host.alias("host")
     ).agg(F.map_from_entries(F.collect_list(F.struct("percentile", value))).alias("percentiles"))
-    by_shard = by_host.groupBy(
-        "period", F.pmod(F.xxhash64("host"), F.lit(shards)).alias("shard")
-    ).agg(F.map_from_entries(F.collect_list(F.struct("host", "percentiles"))).alias("hosts"))
+    rank = F.row_number().over(Window.partitionBy("period").orderBy("host")) - 1
+    by_part = by_host.withColumn("part", F.floor(rank / hosts_per_document)).groupBy("period", "part")
+    hosts = F.map_from_entries(F.collect_list(F.struct("host", "percentiles")))
     document = F.to_json(F.create_map("period", "hosts"), {"ignoreNullFields": "false"})
-    return by_shard.select("period", "shard", document.alias("value"))
+    return by_part.agg(hosts.alias("hosts")).select("period", "part", document.alias("value"))
 
 
 def sink_results_json(
@@ -44,10 +42,11 @@ def sink_results_json(
     """One folder per period, one document per file; the periods written are replaced."""
     (
         result_documents(results, hosts_per_document)
-        .select("value", "period", "shard")
+        .select("value", "period")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("period", "shard")
+        .option("maxRecordsPerFile", 1)
+        .partitionBy("period")
         .text(path)
     )
 

@@ -19,21 +19,26 @@ from faultline.operators.sets import DATE_PARTITIONS
 Month = tuple[int, int]
 
 
-def read_table(spark: SparkSession, source: str, schema: StructType | None = None) -> DataFrame:
-    """A metastore table by name, or Parquet by path.
+def read_files(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
+    """Parquet files by path or wildcard, as ``schema``.
 
     A given schema would read a column that the files do not have as NULL, so their own
     schema is looked at first; a column that is missing there is an error.
     """
+    stored = {name.lower() for name in spark.read.options(**options).parquet(path).columns}
+    missing = [name for name in schema.names if name.lower() not in stored]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return spark.read.schema(schema).options(**options).parquet(path)
+
+
+def read_table(spark: SparkSession, source: str, schema: StructType | None = None) -> DataFrame:
+    """A metastore table by name, or Parquet by path; see ``read_files`` for ``schema``."""
     if "/" not in source:
         return spark.table(source)
     if schema is None:
         return spark.read.parquet(source)
-    stored = {name.lower() for name in spark.read.parquet(source).columns}
-    missing = [name for name in schema.names if name.lower() not in stored]
-    if missing:
-        raise ValueError(f"{source} has no column {', '.join(missing)}")
-    return spark.read.schema(schema).parquet(source)
+    return read_files(spark, source, schema)
 
 
 def partition_date() -> Column:
@@ -59,6 +64,13 @@ def scan_logs_range(
     )
 
 
+def scan_typed_range(spark: SparkSession, source: str, date_from: str, date_to: str) -> DataFrame:
+    """Typed logs of a range of days, with the mark of memory errors where the table has one."""
+    marked = schemas.MEMORY_ERROR_MARK in read_table(spark, source).columns
+    schema = schemas.MARKED_LOGS if marked else schemas.TYPED_LOGS
+    return scan_logs_range(spark, source, date_from, date_to, schema)
+
+
 def scan_empty_like(table: DataFrame) -> DataFrame:
     return table.sparkSession.createDataFrame([], table.schema)
 
@@ -125,5 +137,8 @@ def scan_parquet_filtered(
 
 
 def scan_feature_dataset(spark: SparkSession, glob: str, base_path: str) -> DataFrame:
-    """Feature files by wildcard, with the partition columns found below ``base_path``."""
-    return spark.read.schema(schemas.FEATURES).option("basePath", base_path).parquet(glob)
+    """Feature files by wildcard, with the partition columns found below ``base_path``.
+
+    A column that the files do not have is an error.
+    """
+    return read_files(spark, glob, schemas.FEATURES, basePath=base_path)

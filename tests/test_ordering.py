@@ -41,6 +41,44 @@ def test_number_rows_is_a_total_order_by_default(spark, at):
     assert numbered.select("id", "row_number").exceptAll(again.select("id", "row_number")).isEmpty()
 
 
+def test_copies_of_one_row_are_dealt_evenly(spark, at):
+    """400,000 equal rows in one second, among others of that second and of other keys."""
+    copies = spark.range(400_000, numPartitions=8).selectExpr("7L as id", "'a' as key", "1000L as second")
+    others = [(i, name, 1000 + i % 4) for i, name in enumerate(["a", "b", None] * 40)]
+    rows = copies.union(spark.createDataFrame(others, "id bigint, key string, second bigint"))
+    rows = rows.withColumn("timestamp", at())
+    numbered = number_rows(rows, ["key"], ["id"]).where("key = 'a'").cache()
+    sizes = [
+        r["count"] for r in numbered.where("id = 7 and second = 1000").groupBy(F.spark_partition_id()).count().collect()
+    ]
+    assert sum(sizes) == 400_000 and max(sizes) <= 2 * sum(sizes) / 8
+    assert numbered.agg(F.min("row_number"), F.max("row_number"), F.count_distinct("row_number")).first()[:] == (
+        1, 400_040, 400_040,
+    )
+    wrong = numbered.where(
+        "case when row_number = 1 then prev_timestamp is not null else "
+        "prev_timestamp is null or prev_timestamp > timestamp end"
+    )
+    assert wrong.isEmpty()
+    gaps = numbered.where("prev_timestamp < timestamp").select("second").collect()
+    assert sorted(r.second for r in gaps) == [1001, 1002, 1003]
+    numbered.unpersist()
+
+
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_crowded_slots_give_the_same_numbers(spark, at, keys):
+    """Both ways of ranking agree, whatever counts as crowded."""
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 9), rng.choice(["a", "b", None]), rng.choice([0, 0, 60, None])) for _ in range(600)]
+    table = frame(spark, at, rows).withColumn("headers", F.create_map(F.lit("h"), F.col("key")))
+    plain = number_rows(table, keys, ["id", "key"])
+    counted = number_rows(table, keys, ["id", "key"], crowded=2)
+    names = ["id", "key", "second", "timestamp", "prev_timestamp", "row_number"]
+    key = lambda row: str(tuple(row))
+    assert sorted(plain.select(names).collect(), key=key) == sorted(counted.select(names).collect(), key=key)
+    assert counted.columns == plain.columns
+
+
 def test_burst_ids_share_a_timestamp(spark, at):
     rows = [(0, "a", 0), (1, "a", 10), (2, "a", 10), (3, "a", 12), (4, None, 99)]
     gaps = frame(spark, at, rows).withColumn(
