@@ -34,7 +34,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import stored
+from faultline.llm.tables import shuffle_partitions, stored
 
 #: Letters besides a to z: the code points from À to ÿ.
 LETTERS = [chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100))]
@@ -106,7 +106,8 @@ def neighbour_keys(word: str, shape: str, symbols: int) -> Column:
 
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """Rows (word, n, other, other_n), both ways, for words that are exactly one edit apart."""
-    shapes = words.withColumn("shape", reduced(F.col("word"), symbols))
+    # Each word becomes some thirty rows, so its table is dealt to more tasks than it has files.
+    shapes = words.repartition(shuffle_partitions(words)).withColumn("shape", reduced(F.col("word"), symbols))
     size = F.char_length("word")
     own = F.array(
         join_key(F.col("shape"), 0, first_half(F.col("word"), size)),
