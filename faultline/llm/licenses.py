@@ -24,7 +24,7 @@ Cases
 Null, empty and blank texts have no sentences and the licence list is empty. A sentence that
 is repeated counts each time; licences are listed once, in the order of the rules. Rows that
 repeat a doc_id, null doc_ids and extra columns: one result a row, other columns not read.
-Empty tables: no rows.
+Very long texts: read whole, with any number of known sentences. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 GAP = 2
 
-# Normalised licence sentences by identifier, as patterns over the whole sentence.
+# Normalised licence sentences by identifier, as patterns over the whole sentence.
 SENTENCES = {
     "gpl3": "this work is licensed under the gnu general public license,? version 3",
     "gpl-any": "this (program|work) is free software you can redistribute it and/or modify it under the terms of the gnu general public license.*",
@@ -53,7 +53,7 @@ SENTENCES = {
     "reserved": "all rights reserved",
     "copyright": "copyright (c )?[0-9]{4}.*",
 }
-# Fixed values: (identifiers in order, licence, kind); the first rule that matches counts.
+# (Identifiers in order, licence, kind); the first rule that matches counts.
 RULES = [
     (("mit-grant", "mit-notice", "as-is"), "MIT", "permissive"),
     (("bsd-grant", "bsd-names"), "BSD-3-Clause", "permissive"),
@@ -143,19 +143,23 @@ def sequences(text: Column) -> Column:
             )
         )
 
-    start = F.struct(F.lit(-1).alias("place"), F.lit("").alias("read"))
-    folded = F.aggregate(
-        bound(marked_lines(text), placed), start,
-        lambda so_far, x: F.struct(
-            x["place"].alias("place"),
-            F.concat(
-                so_far["read"],
-                F.when((so_far["place"] >= 0) & (x["place"] - so_far["place"] > GAP + 1), "| ").otherwise(""),
-                x["id"], F.lit(" "),
-            ).alias("read"),
-        ),
-    )
-    return folded["read"]
+    def joined(known: Column) -> Column:
+        def entry(x: Column, i: Column) -> Column:
+            apart = x["place"] - F.get(known, i - 1)["place"] > GAP + 1
+            return F.concat(F.when(apart, "| ").otherwise(""), x["id"], F.lit(" "))
+
+        return F.array_join(F.transform(known, entry), "")
+
+    return bound(bound(marked_lines(text), placed), joined)
+
+
+def between(ids: tuple[str, ...]) -> str:
+    """Identifiers of one sequence in order; others may stand between them.
+
+    What stands between is a run of characters, not of words: Java reads a repeated group by
+    recursion, which a text of some thousand known sentences would carry too deep.
+    """
+    return "([a-z0-9 -]*?)".join(f" {i} " for i in ids)
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -167,8 +171,7 @@ def scan(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("sequence", F.coalesce("sequence", F.lit("")))
     left, found, kinds = F.regexp_replace("sequence", "([^ ]+) ", " $1 "), [], []
     for ids, name, kind in RULES:
-        # Identifiers of one sequence, others may stand between them.
-        pattern = "((?: [a-z0-9-]+ )*?)".join(f" {i} " for i in ids)
+        pattern = between(ids)
         rest = "".join(f"${k}" for k in range(1, len(ids)))
         hit = left.rlike(pattern)
         found.append(F.when(hit, name))
@@ -190,7 +193,7 @@ def duckdb_sql() -> str:
     left, names, kinds = "regexp_replace(sequence, '([^ ]+) ', ' \\1 ', 'g')", [], []
     steps = []
     for k, (ids, name, kind) in enumerate(RULES):
-        pattern = "((?: [a-z0-9-]+ )*?)".join(f" {i} " for i in ids)
+        pattern = between(ids)
         rest = "".join(f"\\{g}" for g in range(1, len(ids)))
         steps.append(
             f"r{k} as (select *, regexp_matches(left{k}, '{pattern}') as hit{k}, "

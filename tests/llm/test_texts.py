@@ -446,3 +446,17 @@ def test_counts_and_neighbours_cover_the_corpus(spark, frame):
     assert own > 0.85 * found.tokens
     before = Counter(r.partition for r in table.selectExpr("spark_partition_id() partition").collect())
     assert len(before) > 1
+
+
+def test_license_scan_of_a_very_long_text(frame, odd):
+    """100,000 known sentences after one that opens a rule, and rows of all odd kinds."""
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
+    long = grant + "\nAll rights reserved." * 100_000
+    rows = [(1, long), (2, grant + "\nLicensed under CC0 1.0" * 3000)]
+    found = {r.doc_id: r for r in licenses.scan(frame(rows)).collect()}
+    assert found[1].n_license_sentences == 100_001 and found[1].n_unknown == 1
+    assert found[1].licenses == "All-Rights-Reserved" and found[2].licenses == "CC0-1.0"
+    assert found[2].sequence == "mit-grant" + " cc0" * 3000
+    scanned = licenses.scan(frame(odd)).collect()
+    assert Counter(r.doc_id for r in scanned) == Counter(i for i, _ in odd)
+    assert all(r.licenses == "" and r.n_license_sentences == 0 for r in scanned)
