@@ -24,8 +24,11 @@ Cases
 -----
 Null text: no words. Documents without words follow the source's rate, so they are taken
 too, with nothing to count. A source without words has target 0 and is not taken. Null
-source: a source of its own. Null doc_id and repeated rows: rows of their own; equal rows
-stand next to each other in the order, in either order. Empty tables: no rows.
+source: a source of its own. Null doc_id: a row of its own, placed by its text. Repeated rows: rows
+of their own; equal rows stand next to each other in the order, in either order. Very long
+texts: read whole; one can be most of its source, and then its copies are off by at most one.
+Other columns are not read by ``copies``, whatever their names; ``mixed`` keeps them. Empty
+tables: no rows.
 """
 
 from __future__ import annotations
@@ -45,13 +48,15 @@ def sized(documents: DataFrame) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         size.alias("size"), F.xxhash64("text").alias("text_hash"),
+        # Rows without doc_id are told apart by their text, so they do not stand in one place.
+        F.when(F.col("doc_id").isNull(), F.md5("text")).alias("text_code"),
     )
     return rows.withColumns(
         {
             "size_class": F.floor(F.log2(F.col("size") + 1) * 8).cast("int"),
-            "code": F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+            "code": F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.col("text_code"), F.lit("")))),
         }
-    ).withColumn("part", F.substring("code", 1, 2))
+    ).drop("text_code").withColumn("part", F.substring("code", 1, 2))
 
 
 def offset(source: Column) -> Column:
@@ -89,7 +94,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def copies(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, source, size, text_hash, source_size, target, copies), one a document."""
-    rows = sized(documents)
+    rows = stored(sized(documents), "sized")  # texts are read once; what follows is lean
     groups = rows.groupBy("source", "size_class", "part").agg(
         F.count("*").alias("n"), F.sum("size").alias("words")
     )

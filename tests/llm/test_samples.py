@@ -159,3 +159,15 @@ def test_pipeline_runs(spark):
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert run.columns[0] == "doc_id" and run.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_without_doc_id_are_spread(frame, prose):
+    """A third of all rows and more without doc_id stand in many places of the order."""
+    rows = [(None, prose(1000 + k, 20)) for k in range(400)] + [(k, prose(k, 20)) for k in range(200)]
+    placed = mixing.sized(frame(rows)).filter("doc_id is null").groupBy("part").count().collect()
+    assert len(placed) > 100 and max(r["count"] for r in placed) < 20
+    found = mixing.copies(frame(rows))
+    again = mixing.copies(frame(list(reversed(rows))))
+    key = lambda r: (r.text_hash, r.copies)
+    assert sorted(found.collect(), key=key) == sorted(again.collect(), key=key)
+    assert found.count() == 600
