@@ -18,7 +18,8 @@ Cases
 -----
 Null and empty texts get the share of good labels as their score. With labels of one class
 or none, all scores are the smoothed share of good labels. Rows that repeat a doc_id are
-scored each by its text. Null doc_id: never learned from, not held out. Empty tables: no rows.
+scored each by its text. Null doc_id: never learned from, not held out. Very long texts: compressed
+whole, block by block. Empty tables: no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

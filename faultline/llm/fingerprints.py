@@ -23,7 +23,9 @@ Cases
 -----
 Null and empty texts and texts of white space: empty fingerprint; likeness of two empty ones is 1, of an
 empty and another 0. Order: null doc_id first, then by doc_id, then by text. Rows that repeat
-a doc_id follow each other. A single row is its own next. Empty tables: no rows.
+a doc_id follow each other. A single row is its own next. Very long texts: read whole; a task holds
+two texts at a time besides its batch. Empty tables: no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ Cases
 Null and empty texts, and texts of spaces: no shingles, no links, own doc_id. Texts shorter
 than a shingle: the whole text is the shingle. Rows that repeat a doc_id: each row follows
 its own text. Null doc_id: such a row can join a component but not name it, unless no row
-has a name (then null). Empty tables: no rows. Other columns are not read.
+has a name (then null). Very long texts: read whole, in slices. Empty tables: no rows. Other
+columns are not read by ``jaccard_groups``, whatever their names; ``one_of_each`` keeps them.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ letters from signs, a part's word and the signs after it are looked up apart.
 Cases
 -----
 Null and empty texts and texts of white space: the end id alone. Rows that repeat a doc_id are documents of
-their own. Null doc_id: packed, the piece has no doc_id. Empty tables: no rows.
+their own. Null doc_id: packed, the piece has no doc_id. Very long texts: cut over as many
+sequences as they need. Empty tables: no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

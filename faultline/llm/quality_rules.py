@@ -18,7 +18,9 @@ Cases
 Null, empty and blank texts have no words and fail the base rule. Without trusted documents
 all weights are 0 and only the base rule decides. Labels that are null or of unknown
 documents do not count; if a doc_id has several labels the highest counts. Rows that repeat
-a doc_id are judged each by its text. Null doc_id: never trusted. Empty tables: no rows.
+a doc_id are judged each by its text. Null doc_id: never trusted. Very long texts: read whole,
+in slices. Empty tables: no rows. Other columns are not read by ``judged``, whatever their names;
+``keepers`` keeps them.
 """
 
 from __future__ import annotations

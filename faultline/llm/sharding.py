@@ -16,7 +16,8 @@ Cases
 -----
 Null text: no bytes, checksum of the empty text. Null source: a source of its own. Rows that
 share doc_id and text are interchangeable. Null doc_id: spread by the text's checksum. Empty
-tables: no rows. Other columns are not read.
+tables: no rows. Very long texts: only their size and checksums are carried. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

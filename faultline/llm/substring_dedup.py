@@ -26,7 +26,8 @@ Cases
 Null, empty and short texts hold no window and stay. ``Earlier`` is by doc_id (null first),
 then by a hash of the text for rows that share a doc_id, then by start. Rows that repeat
 both doc_id and text are one document: both stay, or both lose the same words. Empty tables
-give no rows. Columns other than doc_id and text are carried along by ``without_repeats``.
+give no rows. Very long texts: read whole, in slices. Columns other than doc_id and text are
+carried along by ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ Cases
 Null and empty texts have no token and no passage; they get the lowest score that the
 calibration gives to texts without one. With labels of one class or none, scores are the
 smoothed share of toxic labels. Rows that repeat a doc_id are scored each by its text. Null
-doc_id: never learned from, not held out. Empty tables: no rows.
+doc_id: never learned from, not held out. Very long texts: read whole; a passage counts the less,
+the longer its text. Empty tables: no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
