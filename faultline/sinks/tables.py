@@ -135,7 +135,7 @@ def sink_typed_logs(
     """
     if tasks:
         logs = logs.coalesce(tasks)
-    if mark_errors:
+    if mark_errors and {"msg", "host"} <= set(logs.columns):
         marked = logs.withColumn(MEMORY_ERROR_MARK, F.coalesce(is_memory_error(), F.lit(False)))
         logs = marked.sortWithinPartitions(*DAY, F.desc(MEMORY_ERROR_MARK), "host")
     write_partitioned(logs, path, DAY, max_records_per_file)
