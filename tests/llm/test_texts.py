@@ -120,6 +120,24 @@ def test_ratio_equals_its_definition(frame, label_frame, prose):
     assert min(found[i] for i in range(20)) > max(found[i] for i in range(20, 40))
 
 
+def test_every_trusted_document_counts(spark, label_frame):
+    """However many are trusted: the ratio of each text is that of counts over all of them."""
+    rows = [(i, f"t{i % 4001} u{i % 89}" if i % 26 else f"r{i}") for i in range(26_100)]
+    table = spark.createDataFrame([*rows, (5, "t5 again"), (None, "t5 lost")], "doc_id long, text string")
+    labels = label_frame([(i, int(i % 26 > 0), 0) for i, _ in rows] + [(5, 0, 0), (90_000, 1, 0)])
+    good = {i for i, _ in rows if i % 26 and zlib.crc32(str(i).encode()) % 5}
+    assert len(good) > 20_000
+    size = quality_rules.BUCKETS
+    base, target = np.zeros(size), np.zeros(size)
+    for i, text in [*rows, (5, "t5 again"), (None, "t5 lost")]:
+        for bucket in quality_rules.ngram_buckets(raw(text)).tolist():
+            base[bucket] += 1
+            target[bucket] += i in good
+    base = (base + 1) / (base.sum() + size)
+    want = np.log((target + size * base) / (target.sum() + size)) - np.log(base)
+    assert np.allclose(quality_rules.weights(table, labels), want, rtol=0, atol=1e-9)
+
+
 def test_rules_without_labels(frame, label_frame, prose):
     found = quality_rules.judged(frame([(1, " ".join(str(i) for i in range(90))), (2, "x")]), label_frame([])).collect()
     assert {r.doc_id: (r.llr, r.kept) for r in found} == {1: (0.0, True), 2: (0.0, False)}
