@@ -22,9 +22,11 @@ that is run again packs them alike. Ranges are cut by sampled keys.
 Tokenizing
 ----------
 The tokenizer drops white space and looks at nothing beyond it, so a text's ids are the ids
-of its parts between ASCII white space. A task keeps the ids of the parts that it met last,
-up to ``CACHE`` of them, and gives the tokenizer only new ones. Where the tokenizer splits
-letters from signs, a part's word and the signs after it are looked up apart.
+of its parts between ASCII white space. Where the tokenizer splits letters, single digits and
+signs and lowers letters, a part of Latin-1 letters, ASCII digits and signs (no apostrophe, no
+mark of a special token) is cut into these. Arrow finds the distinct pieces of many texts at once; a Python
+worker keeps the ids of those that it met last, up to ``CACHE`` of them, for all its tasks and
+gives the tokenizer only new ones.
 
 Cases
 -----
@@ -38,6 +40,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -50,15 +53,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.tables import stored
-from faultline.llm.words import byte_rows
+from faultline.llm.words import LOWER, SPACE, byte_rows, slices
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 21, 1 << 12
 CACHE = 600_000
 KEYS, KEY_BITS = 3, 21  # terms of a lexical key, and bits of each
 K1, B = 1.2, 0.75
-TOGETHER = 1 << 16  # parts of texts that are looked up at once
+TOGETHER = 1 << 22  # bytes of texts whose pieces are looked up at once
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe
+LETTER, DIGIT, SIGN, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[65:91] = KINDS[97:123] = LETTER
+KINDS[48:58] = DIGIT
+KINDS[list(SIGNS)] = SIGN
+LATIN = np.zeros(256, bool)  # second bytes of U+00C0 to U+00FF after byte C3, but not of the two signs there
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
+SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 @functools.cache
@@ -71,13 +83,14 @@ def tokenizer(path: str):
 
 @functools.cache
 def word_ends(path: str) -> tuple[bool, np.ndarray]:
-    """Whether letters, single digits and other signs are split apart and a word's last id
-    tells so; which ids are such."""
+    """Whether letters, single digits and other signs are split apart, letters lowered and a
+    word's last id tells so; which ids are such."""
     tool = tokenizer(path)
     settings = json.loads(tool.to_str())
     suffix = settings["model"].get("end_of_word_suffix")
     kinds = json.dumps(settings.get("pre_tokenizer"))
     splits = bool(suffix) and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in kinds
+    splits = splits and '"Lowercase"' in json.dumps(settings.get("normalizer"))
     last = np.zeros(tool.get_vocab_size() + 1, bool)
     if splits:
         last[[i for token, i in tool.get_vocab().items() if token.endswith(suffix)]] = True
@@ -98,12 +111,11 @@ class Recent:
     def missing(self, keys) -> list[bytes]:
         """The keys without a value; the values of the others are young again."""
         young, old, out = self.young, self.old, []
-        for key in keys:
-            if key not in young:
-                if key in old:
-                    young[key] = old[key]
-                else:
-                    out.append(key)
+        for key in [key for key in keys if key not in young]:
+            if key in old:
+                young[key] = old[key]
+            else:
+                out.append(key)
         return out
 
 
@@ -113,66 +125,147 @@ def letters(word: bytes) -> bool:
     return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
 
+def cut(data: np.ndarray, splits: bool) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts that the tokenizer takes apart, and which bytes are no white space.
+
+    With ``splits`` these are, in parts of Latin-1 letters, ASCII digits and signs, runs of
+    letters (lowered) or signs and single digits; any other part is a piece as it is.
+    """
+    inside = ~SPACE[data]
+    body = data[inside]
+    begins = ~np.concatenate([[False], inside[:-1]])[inside]
+    if splits and len(body):
+        kinds, lower = KINDS[body], LOWER[body]
+        lead = np.flatnonzero(body == 0xC3)
+        lead = lead[LATIN[body[lead + 1]]]
+        kinds[lead] = kinds[lead + 1] = LETTER
+        lower[lead + 1] |= 0x20
+        lower[lead[body[lead + 1] == 0x9F] + 1] = 0x9F  # sharp s is small
+        kinds[:-1][(body[:-1] == ord("<")) & (body[1:] == ord("|"))] = OTHER
+        other = kinds == OTHER
+        if other.any():
+            parts = np.flatnonzero(begins)
+            other = np.repeat(np.logical_or.reduceat(other, parts), np.diff(parts, append=len(body)))
+            kinds[other] = OTHER
+            lower[other] = body[other]
+        body = lower
+        begins[1:] |= (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+    ends = np.append(np.flatnonzero(begins), len(body))
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, buffers), inside
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.tool, self.parts, self.words = tokenizer(path), Recent(), Recent()
+        self.tool, self.known = tokenizer(path), Recent()
         self.splits, self.last = word_ends(path)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-    def encoded(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
+        # Small Latin-1 letters need no normalising and no pattern, those of ASCII no mapping of bytes either.
+        self.small, self.ascii = Tokenizer(self.tool.model), Tokenizer(self.tool.model)
+        self.ascii.pre_tokenizer = WhitespaceSplit()
+        self.small.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def encoded(self, texts: list[str], tool=None) -> list[np.ndarray]:
+        found = (tool or self.tool).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4") for x in found]
 
-    def learn_words(self, words: list[bytes]) -> None:
+    def learn_words(self, words: list[bytes], tool) -> None:
         """Ids of words of small letters: many are encoded as one text and cut at their ends."""
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            ids = self.encoded([b" ".join(some).decode()])[0]
+        for i in range(0, len(words), 1 << 12):
+            some = words[i : i + (1 << 12)]
+            ids = self.encoded([b" ".join(some).decode()], tool)[0]
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 each = [x.tobytes() for x in self.encoded([w.decode() for w in some])]
             else:
                 whole, at = ids.tobytes(), [0, *(4 * ends).tolist()]
                 each = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            self.words.young.update(zip(some, each, strict=True))
-
-    def learn(self, parts: list[bytes]) -> None:
-        """Ids of new parts. Most are a word and signs after it, which are looked up apart."""
-        split, whole = [], []
-        for part in parts:
-            word = part.rstrip(SIGNS).lower()
-            if self.splits and word and b"<|" not in part and (word.isalpha() or letters(word)):
-                split.append((part, word, part[len(word) :]))
+            self.known.young.update(zip(some, each, strict=True))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Ids of new pieces. Many others are a word and signs after it, which are looked up apart."""
+        plain, small, split, whole = [], [], [], []
+        for piece in pieces:
+            if self.splits and piece.isalpha():
+                plain.append(piece)
+                continue
+            if self.splits and SMALL.fullmatch(piece):
+                small.append(piece)
+                continue
+            word = piece.rstrip(SIGNS).lower()
+            if self.splits and word and b"<|" not in piece and letters(word):
+                split.append((piece, word, piece[len(word) :]))
             else:
-                whole.append(part)
-        self.learn_words(self.words.missing({word for _, word, _ in split}))
-        signs = self.words.missing({s for _, _, s in split if s})
-        for keys, store in ((signs, self.words), (whole, self.parts)):
-            for i in range(0, len(keys), 1 << 13):
-                some = keys[i : i + (1 << 13)]
-                each = self.encoded([k.decode() for k in some])
-                store.young.update(zip(some, (x.tobytes() for x in each), strict=True))
-        known, young = self.words.young, self.parts.young
-        for part, word, sign in split:
-            young[part] = known[word] + known[sign] if sign else known[word]
+                whole.append(piece)
+        self.learn_words(plain, self.ascii)
+        self.learn_words(small, self.small)
+        self.learn_words(self.known.missing({word for _, word, _ in split}), self.tool)
+        whole = list({*whole, *self.known.missing({sign for _, _, sign in split if sign})})
+        young = self.known.young
+        for i in range(0, len(whole), 1 << 13):
+            some = whole[i : i + (1 << 13)]
+            each = self.encoded([k.decode() for k in some])
+            young.update(zip(some, (x.tobytes() for x in each), strict=True))
+        for piece, word, sign in split:
+            young[piece] = young[word] + young[sign] if sign else young[word]
 
     def of(self, texts: list[np.ndarray]) -> list[bytes]:
-        out, some, size = [], [], 0
-        for text in texts:
-            some.append(text.tobytes().split())
-            size += len(some[-1])
-            if size >= TOGETHER:
-                out += self.joined(some)
-                some, size = [], 0
-        return out + self.joined(some)
-
-    def joined(self, texts: list[list[bytes]]) -> list[bytes]:
-        self.parts.turn()
-        self.words.turn()
-        young, end = self.parts.young, np.array([END], dtype="<u4").tobytes()
-        self.learn(self.parts.missing(set().union(*texts)))
-        return [b"".join([young[p] for p in text]) + end for text in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        some, owners, size = [], [], 0
+
+        def flush() -> None:
+            for i, ids in zip(owners, self.joined(some), strict=True):
+                out[i].append(ids)
+
+        for i, text in enumerate(texts):
+            for begin, end in slices(text):
+                some.append(text[begin:end])
+                owners.append(i)
+                size += end - begin
+                if size >= TOGETHER:
+                    flush()
+                    some, owners, size = [], [], 0
+        if some:
+            flush()
+        last = np.array([END], dtype="<u4").tobytes()
+        return [b"".join(parts) + last for parts in out]
+
+    def joined(self, texts: list[np.ndarray]) -> list[bytes]:
+        """Ids of texts without their end ids. Each distinct piece is looked up once."""
+        pieces, inside = cut(np.frombuffer(b" ".join([*texts, b""]), np.uint8), self.splits)
+        if not len(pieces):
+            return [b""] * len(texts)
+        found = pieces.dictionary_encode()
+        nth = found.indices.to_numpy()
+        _, ends, body = found.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(found.dictionary) + 1].tolist()
+        body = body.to_pybytes()
+        keys = [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.known.turn()
+        self.learn(self.known.missing(keys))
+        codes = list(map(self.known.young.__getitem__, keys))
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        first, count = np.cumsum(sizes) - sizes, sizes[nth]
+        at = np.concatenate([[0], np.cumsum(count)])
+        ids = ids[np.arange(at[-1]) + np.repeat(first[nth] - at[:-1], count)].tobytes()
+        # A text's first piece follows as many bytes as the texts before it hold.
+        starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+        held = np.add.reduceat(inside, starts[:-1], dtype=np.int64)
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)
+        cuts = at[np.searchsorted(offsets, np.concatenate([[0], np.cumsum(held)]))]
+        cuts = (4 * cuts).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """One for each Python worker, whose tasks share what it knows."""
+    return Ids(path)
 
 
 class Corpus(NamedTuple):
@@ -213,12 +306,17 @@ def lexical_keys(items: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     item, term, count = item[shared], term[shared], count[shared]
     length = np.array([len(x) for x in items], dtype=float)
     weight = corpus.rarity(term) * count * (K1 + 1) / (count + corpus.norm(length)[item])
-    order = np.lexsort((term, -weight, item))
-    item, term = item[order], term[order]
-    rank = np.arange(len(item)) - np.searchsorted(item, item)
+    if not len(item):
+        return keys
+    first = np.flatnonzero(np.diff(item, prepend=-1))
+    sizes, places = np.diff(first, append=len(item)), np.arange(len(item))
     for k in range(KEYS):
-        here = rank == k
+        best = np.repeat(np.maximum.reduceat(weight, first), sizes)
+        # Of equal weights the first, which is the smallest term; what was taken weighs nothing.
+        here = np.minimum.reduceat(np.where(weight == best, places, len(item)), first)
+        here = here[weight[here] > 0]
         keys[item[here]] |= (term[here] + 1) << (KEY_BITS * (KEYS - 1 - k))
+        weight[here] = 0
     return keys
 
 
@@ -237,7 +335,7 @@ class Index:
         order = np.argsort(self.code, kind="stable")
         self.holder, self.impact = item[order], self.weight[order]
         self.start = np.concatenate([[0], np.cumsum(holders)])
-        self.size = len(items)
+        self.alive = np.arange(len(items))
         # Terms of more than an eighth of the items have a row of all items instead of a list.
         common = holders > len(items) // 8
         self.row = np.where(common, np.cumsum(common) - 1, -1)
@@ -245,19 +343,39 @@ class Index:
         often = common[self.code]
         self.dense[self.row[self.code[often]], item[often]] = self.weight[often]
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Leaves only the wanted of the items that can still be found."""
+        at = np.cumsum(wanted) - 1
+        self.alive, self.dense = self.alive[wanted], np.ascontiguousarray(self.dense[:, wanted])
+        here = wanted[self.holder]
+        self.start = np.concatenate([[0], np.cumsum(here)])[self.start]
+        self.holder, self.impact = at[self.holder[here]], self.impact[here]
+
+    def scores(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """For each item of ``alive`` its score, 0 if it is not free. Items that are not free may go for good."""
+        free = free[self.alive]
+        if 0 < 5 * np.count_nonzero(free) < 4 * len(free):
+            self.keep(free)
+            free = np.ones(len(self.alive), bool)
+        codes = self.code[self.first[seed] : self.first[seed + 1]]
+        rows = self.row[codes]
+        out = np.zeros(len(free))
+        for row in rows[rows >= 0].tolist():
+            out += self.dense[row]
+        rare = codes[rows < 0]
+        begin, ends = self.start[rare], np.cumsum(self.start[rare + 1] - self.start[rare])
+        if len(ends) and ends[-1]:
+            count = np.diff(ends, prepend=0)
+            at = np.arange(ends[-1]) + np.repeat(begin - ends + count, count)
+            out += np.bincount(self.holder[at], weights=self.impact[at], minlength=len(free))
+        out[~free] = 0
+        return out
+
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """All free items that share a term with the seed, best first."""
-        codes = self.code[self.first[seed] : self.first[seed + 1]]
-        scores = self.dense[self.row[codes[self.row[codes] >= 0]]].sum(axis=0)
-        runs = [slice(self.start[c], self.start[c + 1]) for c in codes[self.row[codes] < 0].tolist()]
-        if runs:
-            scores += np.bincount(
-                np.concatenate([self.holder[r] for r in runs]),
-                weights=np.concatenate([self.impact[r] for r in runs]), minlength=self.size,
-            )
-        scores[~free] = 0
+        scores = self.scores(seed, free)
         order = np.argsort(-scores, kind="stable")
-        return order[: np.count_nonzero(scores > 0)]
+        return self.alive[order[: np.count_nonzero(scores > 0)]]
 
 
 def packed(
@@ -296,21 +414,22 @@ def packed(
         chosen = [seed]
         space = WINDOW - int(left[seed])
         if space > 0:
-            near = index.neighbours(seed, free)
-            sizes, at = left[near], 0
-            while space and at < len(near):
-                fits = sizes[at:] <= space
-                at += int(fits.argmax())
-                if not fits.any():
+            scores = index.scores(seed, free)
+            sizes = left[index.alive]
+            # The best one that fits, again and again: what did not fit before does not fit later.
+            while space:
+                k = int(np.where(sizes <= space, scores, 0).argmax())
+                if scores[k] <= 0 or sizes[k] > space:
                     break
-                i = int(near[at])
+                i = int(index.alive[k])
                 chosen.append(i)
                 free[i] = False
+                scores[k] = 0
                 space -= int(left[i])
-                at += 1
-            near = near[free[near]].tolist() if space else []
+            k = int(scores.argmax())
+            near = [int(index.alive[k])] if space and scores[k] > 0 else []
             while space:
-                i = near.pop(0) if near else next_free()
+                i = near.pop() if near else next_free()
                 if i is None:
                     break
                 free[i] = False
@@ -354,7 +473,7 @@ def coded(documents: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, tokens, crcs, rest, nth): crc32 of each full window, and the ids left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, nth = Ids(path), TaskContext.get().partitionId() << 36
+        ids, nth = ids_of(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             codes = ids.of(byte_rows(batch.column(1)))
             ends = [len(c) // (4 * WINDOW) * (4 * WINDOW) for c in codes]

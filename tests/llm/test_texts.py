@@ -379,6 +379,23 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
 
 
+def test_tokenizer_sees_each_run_once(monkeypatch):
+    """Runs of letters and signs and digits go to the tokenizer once, however parts combine them."""
+    given, encoded = [], packing.Ids.encoded
+
+    def counting(self, texts, *tool):
+        given.extend(texts)
+        return encoded(self, texts, *tool)
+
+    monkeypatch.setattr(packing.Ids, "encoded", counting)
+    texts = [f"{w}{i},été{i % 10}" for i in range(500) for w in ("ab", "AB", "Éa")] + ["don't <|x|> 12½", "ÿ×Þ÷ß E\u0301"]
+    tool, ids = Tokenizer.from_file(PATH), packing.Ids(PATH)
+    found = ids.of([raw(t) for t in texts]) + ids.of([raw(t) for t in reversed(texts)])
+    for text, got in zip([*texts, *reversed(texts)], found, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids + [1], repr(text)
+    assert sum(len(t.split()) for t in given) < 30
+
+
 def test_packing_of_nothing(frame):
     assert packing.pieces(frame([]), PATH).count() == 0
     row = packing.pieces(frame([(1, None)]), PATH).collect()
@@ -405,6 +422,17 @@ def test_index_scores_equal_bm25():
         assert np.allclose(scores[got], scores[want])
 
 
+def test_used_index_finds_as_a_new_one():
+    """Items that were taken leave the index; what it finds among the others does not change."""
+    rng = np.random.default_rng(8)
+    items = [rng.integers(0, 300, rng.integers(1, 60)).astype("<u4") for _ in range(90)]
+    index, free = packing.Index(items), np.ones(90, bool)
+    for seed in rng.permutation(90).tolist():
+        free[seed] = False
+        assert index.neighbours(seed, free).tolist() == packing.Index(items).neighbours(seed, free).tolist()
+    assert len(index.alive) < 20
+
+
 def test_neighbours_fill_windows():
     """Documents of one topic share windows although topics alternate in the input."""
     rng = np.random.default_rng(6)
