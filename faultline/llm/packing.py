@@ -24,9 +24,10 @@ Tokenizing
 The tokenizer drops white space and looks at nothing beyond it, so a text's ids are the ids
 of its parts between ASCII white space. Where the tokenizer splits letters, single digits and
 signs and lowers letters, a part of Latin-1 letters, ASCII digits and signs (no apostrophe, no
-mark of a special token) is cut into these. Arrow finds the distinct pieces of many texts at once; a Python
-worker keeps the ids of those that it met last, up to ``CACHE`` of them, for all its tasks and
-gives the tokenizer only new ones.
+mark of a special token) is cut into these. Arrow finds the distinct pieces of many texts at once; a
+task keeps the ids of those that it met last, about ``CACHE`` of them, and gives the tokenizer only
+new ones. What a task knows goes with it: its Python worker waits for later steps, and an executor
+pays for the memory of all its workers.
 
 Cases
 -----
@@ -52,15 +53,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shipping import lean
 from faultline.llm.tables import stored
 from faultline.llm.words import LOWER, SPACE, byte_rows, slices
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 21, 1 << 12
-CACHE = 600_000
+CACHE = 200_000
 KEYS, KEY_BITS = 3, 21  # terms of a lexical key, and bits of each
 K1, B = 1.2, 0.75
-TOGETHER = 1 << 22  # bytes of texts whose pieces are looked up at once
+TOGETHER = 1 << 21  # bytes of texts whose pieces are looked up at once
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe
 LETTER, DIGIT, SIGN, OTHER = range(4)
 KINDS = np.full(256, OTHER, np.uint8)
@@ -262,12 +264,6 @@ class Ids:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-@functools.cache
-def ids_of(path: str) -> Ids:
-    """One for each Python worker, whose tasks share what it knows."""
-    return Ids(path)
-
-
 class Corpus(NamedTuple):
     """Counts over all items: items that hold each term, items, tokens."""
 
@@ -473,7 +469,7 @@ def coded(documents: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, tokens, crcs, rest, nth): crc32 of each full window, and the ids left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, nth = ids_of(path), TaskContext.get().partitionId() << 36
+        ids, nth = Ids(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             codes = ids.of(byte_rows(batch.column(1)))
             ends = [len(c) // (4 * WINDOW) * (4 * WINDOW) for c in codes]
@@ -494,7 +490,7 @@ def coded(documents: DataFrame, path: str) -> DataFrame:
             nth += len(codes)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, tokens long, crcs array<long>, rest binary, nth long"
+        lean(run), "doc_id long, tokens long, crcs array<long>, rest binary, nth long"
     )
 
 
@@ -587,6 +583,6 @@ def pieces(documents: DataFrame, path: str) -> DataFrame:
             yield flush()
 
     return dealt(items, corpus).select("doc_id", "tokens", "crcs", "rest").mapInArrow(
-        run,
+        lean(run),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -396,6 +397,21 @@ def test_tokenizer_sees_each_run_once(monkeypatch):
     assert sum(len(t.split()) for t in given) < 30
 
 
+def test_python_workers_keep_no_ids_after_packing(frame, prose):
+    """Workers wait for later steps; what they know of a packing's texts would add up there."""
+    rows = frame([(i, prose(i, 300)) for i in range(40)]).repartition(4)
+    assert packing.coded(rows, PATH).filter("tokens > 1").count() == 40
+
+    def held(batches):
+        import gc
+
+        for batch in batches:
+            n = sum(type(x).__name__ == "Ids" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(batch), pa.int64())], ["n"])
+
+    assert {r.n for r in rows.select("doc_id").mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_packing_of_nothing(frame):
     assert packing.pieces(frame([]), PATH).count() == 0
     row = packing.pieces(frame([(1, None)]), PATH).collect()
