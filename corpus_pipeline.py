@@ -6,12 +6,14 @@ columns of documents; the last returns the pieces of the packed windows.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import jaccard_join, mixing, packing, quality_rules, substring_dedup
 from faultline.llm.shipping import ready
-from faultline.llm.tables import stored
+from faultline.llm.tables import stored_alone
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored_alone(spark, partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

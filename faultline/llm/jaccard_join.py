@@ -11,9 +11,10 @@ Method
    listed.
 3. A hashed bitmap of each set, a 32nd of its size, bounds overlaps from above by a bit
    count. Each member is compared with its hub by bitmaps, and by exact intersection if that
-   does not settle it. Members outside the hub's component are compared with the others of the group
-   in tiles of bounded size, again by bitmaps first; only sets that then may link to another
-   component are sent whole and intersected as sorted arrays. Pairs that are connected
+   does not settle it; for that its text is read again, as only bitmaps are stored. Members
+   outside the hub's component are compared with the others of the group in tiles of bounded
+   size, again by bitmaps first; only sets that then may link to another component are made
+   anew from their texts, sent whole and intersected as sorted arrays. Pairs that are connected
    already are skipped, so a tile returns at most one link per set.
 4. Links form components; the name of a component is its least doc_id.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import components, left_out, stored, surely_without, thinned
+from faultline.llm.tables import components, left_out, stored, stored_alone, surely_without, thinned
 from faultline.llm.words import (
     LOWER, as_long, byte_rows, digest, list_column, mix, numbers, shingle_set,
 )
@@ -165,34 +166,46 @@ def candidate_keys(documents: DataFrame, width: int, least_percent: int) -> Data
     return documents.select("text").mapInArrow(run, "key long, short long")
 
 
-def candidate_sets(documents: DataFrame, width: int) -> DataFrame:
-    """Rows (short, node, n, hashes, bits) for texts; ``bits`` is the set's bitmap."""
+def candidate_sets(texts: DataFrame, width: int, whole: bool) -> DataFrame:
+    """Rows (short, node, n, ref, bits) for texts, with ``whole`` also hashes; ``bits`` is the set's bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # repeated rows lie together after the join on ref
         for batch in batches:
-            found = {}
-            for data in byte_rows(batch.column(0)):
+            found, rows = {}, []
+            for i, data in enumerate(byte_rows(batch.column(1))):
                 hashes = lower_set(data, width)
                 node = digest(hashes)
                 if len(hashes) and node not in seen:
                     seen.add(node)
                     found[node] = hashes
+                    rows.append(i)
             nodes, sets = list(found), list(found.values())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([short_node(n) for n in nodes], pa.int64()),
-                    pa.array(nodes, pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    list_column(sets),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                ],
-                ["short", "node", "n", "hashes", "bits"],
-            )
+            columns = {
+                "short": pa.array([short_node(n) for n in nodes], pa.int64()),
+                "node": pa.array(nodes, pa.binary()),
+                "n": pa.array([len(s) for s in sets], pa.int64()),
+                "ref": batch.column(0).take(pa.array(rows, pa.int64())),
+                "bits": pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+            }
+            if whole:
+                columns["hashes"] = list_column(sets)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "short long, node binary, n long, ref long, bits binary" + ", hashes array<long>" * whole
+    return texts.select("ref", "text").mapInArrow(run, schema)
+
+
+def texts_of(documents: DataFrame, refs: DataFrame) -> DataFrame:
+    """The texts with one of the distinct ``refs``."""
+    # An inner join: Spark would move a semi join below the filter, to all texts.
+    return thinned(referred(documents), refs, "ref").join(refs, "ref")
 
-    return documents.select("text").mapInArrow(
-        run, "short long, node binary, n long, hashes array<long>, bits binary"
-    )
+
+def whole_sets(documents: DataFrame, sets: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Rows (node, n, hashes, bits) that hold all of ``nodes``; their texts are read again."""
+    refs = sets.select("node", "ref").join(nodes.select("node").distinct(), "node").select("ref").distinct()
+    return candidate_sets(texts_of(documents, refs), width, True).select("node", "n", "hashes", "bits")
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -270,7 +283,7 @@ def bit_rows(column: pa.Array) -> list[np.ndarray]:
     return [np.ascontiguousarray(x).view(np.uint64) for x in byte_rows(column)]
 
 
-def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def hub_links(documents: DataFrame, members: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (node, hub_node) between members of candidate groups and their hubs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +310,13 @@ def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .distinct(),
         "close",
     )
+    nodes = close.select("node").union(close.select("hub_node"))
+    full = stored(whole_sets(documents, sets, nodes, width).select("node", "n", "hashes"), "close-sets")
     hubs = close.select(F.col("hub_node").alias("node"))
-    full = thinned(sets.select("node", "n", "hashes"), close, "node")
-    hub_full = thinned(sets.select("node", "n", "hashes"), hubs, "node").select(
+    hub_full = thinned(full, hubs, "node").select(
         F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes")
     )
+    full = thinned(full, close, "node")
     shared = F.size(F.array_intersect("hashes", "hub_hashes"))
     near = 100 * shared >= percent * (F.col("n") + F.col("hub_n") - shared)
     return close.join(full, "node").join(hub_full, "hub_node").filter(near).select("node", "hub_node")
@@ -363,10 +378,9 @@ def flagged_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return rows.groupBy("hub", "i", "j").applyInArrow(run, "hub long, node binary").distinct()
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components of candidate groups, decided by the whole sets."""
-    full = thinned(sets.select("node", "hashes", "bits"), members, "node")
-    rows = tiles(members, BLOCK_HASHES, BLOCK_MOST).join(full, "node")
+    rows = tiles(members, BLOCK_HASHES, BLOCK_MOST).join(full.select("node", "hashes", "bits"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         lists = table.column("hashes").combine_chunks()
@@ -385,10 +399,8 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def grouped_rows(documents: DataFrame, width: int, least_percent: int) -> DataFrame:
-    """Per row: doc_id, ref, key, n_shingles, and doc_id and key of its component's first row."""
-    rows = stored(profiles(documents, width), "profiles")
-    named = rows.filter("node is not null")
+def linked_roots(documents: DataFrame, named: DataFrame, width: int, least_percent: int) -> DataFrame:
+    """Rows (node, root) of the nodes that have a link, one root for each component."""
     hub = F.min("short").over(Window.partitionBy("key"))
     members = stored(
         candidate_keys(documents, width, least_percent)
@@ -400,11 +412,9 @@ def grouped_rows(documents: DataFrame, width: int, least_percent: int) -> DataFr
     )
     shorts = members.select("short").union(members.select("hub")).distinct()
     refs = named.join(shorts, "short").groupBy("node").agg(F.min("ref").alias("ref")).select("ref").distinct()
-    # An inner join: Spark would move a semi join below the filter, to all texts.
-    texts = thinned(referred(documents), refs, "ref").join(refs, "ref")
-    sets = stored(candidate_sets(texts, width), "sets")
+    sets = stored(candidate_sets(texts_of(documents, refs), width, False), "sets")
 
-    first = hub_links(members, sets, least_percent)
+    first = hub_links(documents, members, sets, width, least_percent)
     near = components(first.select(F.col("node").alias("a"), F.col("hub_node").alias("b")))
     everyone = members.union(members.select("hub", F.col("hub").alias("short"))).distinct()
     names = sets.select("short", "node", "n").join(near, "node", "left")
@@ -415,17 +425,29 @@ def grouped_rows(documents: DataFrame, width: int, least_percent: int) -> DataFr
     )
     flagged = flagged_members(placed, sets, least_percent)
     rivals = stored(placed.join(flagged, ["hub", "node"], "left_semi"), "rivals")
-    second = stored(block_links(rivals, sets, least_percent), "block-links")
+    second = block_links(rivals, whole_sets(documents, sets, rivals, width), least_percent)
+    second = stored(second, "block-links")
     more = second.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
     more = more.join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     more = more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    far = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    far = components(more)
+    tops = far.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = near.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return rooted.unionByName(left_out(far, near.select("node"), ["node"]))
+
+
+def grouped_rows(documents: DataFrame, width: int, least_percent: int) -> DataFrame:
+    """Per row: doc_id, ref, key, n_shingles, and doc_id and key of its component's first row."""
+    rows = stored(profiles(documents, width), "profiles")
+    named = rows.filter("node is not null")
+    roots = stored_alone(
+        documents.sparkSession, lambda: linked_roots(documents, named, width, least_percent), "roots"
+    )
 
     # A component's first row: by doc_id, null last, then by text.
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
     nodes = named.groupBy("node").agg(first_row.alias("least"))
-    rooted = nodes.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(far, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = rooted.groupBy("root").agg(F.min("least").alias("least"))
     names = rooted.select("node", "root").join(tops, "root").select("node", "least")
     found = named.join(names, "node")

@@ -11,7 +11,8 @@ A window of ``width`` words is an edge of a De Bruijn graph: it leads from its f
    only be repeated if its anchors are. An eighth of the positions is shuffled, and only
    texts with a repeated anchor are read again.
 3. Edges at repeated anchors meet by their 128-bit hash; each learns the coordinates
-   (doc_id, text, start) of its first occurrence, its source.
+   (doc_id, text, start) of its first occurrence, its source. A text is given by its rank
+   among those of its doc_id, a small number that shuffles well.
 4. Compaction: neighbouring repeated edges of a text whose sources are neighbours too, in
    one text, form a nonbranching path. Where the source changes, the graph branches and
    the path ends. A path is one row with the coordinates of its copy and of its source;
@@ -147,16 +148,17 @@ def anchor_rows(documents: DataFrame, width: int) -> DataFrame:
 
 
 def edge_rows(texts: DataFrame, width: int) -> DataFrame:
-    """Rows (h1, h2, doc_id, key, start, stop, known) of windows at repeated anchors.
+    """Rows (h1, h2, doc_id, nth, start, length, known) of windows at repeated anchors.
 
-    A known row is a run of windows that occur earlier in the same batch.
+    A known row is a run of ``length`` windows that occur earlier in the same batch. Windows
+    are many: rows are kept small, so they have no second hash of their text (``key``).
     """
     reach = width - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows, places = byte_rows(batch.column(2)), batch.column(3)
+            ids, keys, nths = (batch.column(k).to_pylist() for k in range(3))
+            rows, places = byte_rows(batch.column(3)), batch.column(4)
             order = sorted(range(len(rows)), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
             parts, seen = [], set()
             for i in order:
@@ -192,7 +194,7 @@ def edge_rows(texts: DataFrame, width: int) -> DataFrame:
             head = np.flatnonzero(head)
             fresh = np.flatnonzero(~again)
             pick = np.concatenate([fresh, head])
-            stop = np.concatenate([start[fresh], start[tail]]) + 1
+            length = np.concatenate([start[fresh], start[tail]]) + 1 - start[pick]
             known = np.zeros(len(pick), bool)
             known[len(fresh) :] = True
             spread = mix(start[pick].astype(np.uint64) + numbers_of(keys, owner[pick]))
@@ -202,16 +204,16 @@ def edge_rows(texts: DataFrame, width: int) -> DataFrame:
                     pa.array(as_long(np.where(known, spread, h1[pick]))),
                     pa.array(as_long(np.where(known, spread, h2[pick]))),
                     pa.array([ids[i] for i in own], pa.int64()),
-                    pa.array([keys[i] for i in own], pa.int64()),
+                    pa.array([nths[i] for i in own], pa.int64()),
                     pa.array(start[pick].astype(np.int32)),
-                    pa.array(stop.astype(np.int32)),
+                    pa.array(length.astype(np.int32)),
                     pa.array(known),
                 ],
-                ["h1", "h2", "doc_id", "key", "start", "stop", "known"],
+                ["h1", "h2", "doc_id", "nth", "start", "length", "known"],
             )
 
-    return texts.select("doc_id", "key", "text", "places").mapInArrow(
-        run, "h1 long, h2 long, doc_id long, key long, start int, stop int, known boolean"
+    return texts.select("doc_id", "key", "nth", "text", "places").mapInArrow(
+        run, "h1 long, h2 long, doc_id long, nth long, start int, length int, known boolean"
     )
 
 
@@ -237,32 +239,36 @@ def repeated_spans(documents: DataFrame, rows: DataFrame, width: int) -> DataFra
     )
     firsts = rows.filter(F.col("n_words") >= width).groupBy("node", "short")
     firsts = firsts.agg(F.min(F.struct("doc_id", "key", "ref")).alias("f")).select("short", "f.*")
-    wanted = stored(firsts.join(repeated, "short").select("ref", "key", "places"), "anchored")
+    # Texts of one doc_id are told apart by their rank; without doc_id, by the hash as before.
+    of_id = F.row_number().over(Window.partitionBy("ref", F.col("doc_id").isNull()).orderBy("key"))
+    firsts = firsts.withColumn("nth", F.when(F.col("doc_id").isNull(), F.col("key")).otherwise(of_id.cast("long")))
+    wanted = stored(firsts.join(repeated, "short").select("ref", "key", "nth", "places"), "anchored")
     texts = thinned(identified(documents), wanted, "ref").join(wanted, ["ref", "key"])
 
-    edge, copy = Window.partitionBy("h1", "h2"), F.struct("doc_id", "key", "start")
+    edge, copy = Window.partitionBy("h1", "h2"), F.struct("doc_id", "nth", "start")
     edges = edge_rows(texts, width).withColumn("source", F.min(copy).over(edge))
     edges = edges.filter(F.col("known") | (F.col("source") != copy)).drop("h1", "h2")
-    along = Window.partitionBy("doc_id", "key").orderBy("start", "stop")
-    before = F.lag(F.struct("stop", "known", "source")).over(along)
+    along = Window.partitionBy("doc_id", "nth").orderBy("start", "length")
+    before = F.lag(F.struct("start", "length", "known", "source")).over(along)
     goes_on = (
         ~F.col("known")
         & ~before["known"]
-        & (before["stop"] == F.col("start"))
+        & (before["start"] + before["length"] == F.col("start"))
         & before["source"]["doc_id"].eqNullSafe(F.col("source.doc_id"))
-        & (before["source"]["key"] == F.col("source.key"))
+        & (before["source"]["nth"] == F.col("source.nth"))
         & (before["source"]["start"] + 1 == F.col("source.start"))
     )
     paths = (
         edges.withColumn("_new", F.when(goes_on, 0).otherwise(1))
         .withColumn("_path", F.sum("_new").over(along))
-        .groupBy("doc_id", "key", "_path")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+        .groupBy("doc_id", "nth", "_path")
+        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"))
     )
-    listed = paths.groupBy("doc_id", "key").agg(
+    listed = paths.groupBy("doc_id", "nth").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
     )
-    return listed.select(F.coalesce("doc_id", "key").alias("ref"), "key", "starts", "stops")
+    listed = listed.select(F.coalesce("doc_id", "nth").alias("ref"), "nth", "starts", "stops")
+    return listed.join(wanted.select("ref", "nth", "key"), ["ref", "nth"]).select("ref", "key", "starts", "stops")
 
 
 def covered(count: int, starts, stops, width: int) -> np.ndarray:

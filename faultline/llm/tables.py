@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import shared_folder, work_tables
 from faultline.sinks.tables import written_table
 
 #: Bits of a membership filter: 65,536 words of 64 bits, half a megabyte whatever the input.
@@ -15,6 +18,15 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return written_table(table, f"llm-{name}")
 
 
+def stored_alone(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` returns, stored; tables that it stored for itself on the way are deleted."""
+    path = shared_folder(spark, f"llm-{name}")
+    with work_tables(spark):
+        table = build()
+        table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def shuffle_partitions(table: DataFrame) -> int:
     return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

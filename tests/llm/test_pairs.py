@@ -1,14 +1,17 @@
 """Near copies and repeated passages against plain loops."""
 
+import glob
 import hashlib
+import os
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm.jaccard_join import bands, jaccard_groups, one_of_each, part_keys, set_keys, spare
-from faultline.llm.substring_dedup import anchors, dedup_digests, without_repeats
+from faultline.llm.substring_dedup import anchors, dedup_digests, edge_rows, identified, without_repeats
 from faultline.llm.words import window_hashes, word_hashes
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -110,6 +113,17 @@ def test_one_of_each_tells_texts_of_one_id_apart(frame, prose):
     assert [t for i, t in got if i is None][0] in {nameless, edited(nameless, [3]), edited(nameless, [50])}
 
 
+def test_work_tables_of_the_join_are_deleted(spark, frame, prose):
+    """Sets and links serve the join only; what stays has a row for each document at most."""
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/faultline/*"))
+    base = prose(27, 90)
+    left = one_of_each(frame([(k, edited(base, [k])) for k in range(4)]))
+    after = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/faultline/*")) - before
+    names = {os.path.basename(f).rsplit("-", 1)[0] for f in after}
+    assert names == {"llm-profiles", "llm-roots", "llm-groups", "llm-twice"}
+    assert [r.doc_id for r in left.collect()] == [0]
+
+
 def repeats(rows, width=20):
     """(doc_id, words, removed, sha256) and kept words; rows of one doc_id and text are one."""
     seen, out, kept = {}, [], []
@@ -141,6 +155,26 @@ def test_repeats_equal_all_windows(frame, odd, prose):
     assert Counter(map(tuple, found.collect())) == repeats(rows)[0]
 
 
+def test_repeats_between_texts_of_one_id(spark, frame, prose):
+    """Texts of one doc_id, and texts without, come in the order of their hashes."""
+    passage = prose(55, 45)
+    rows = [(i, f"{prose(560 + k, 30)} {passage} {prose(580 + k, 8 * k)}") for k, i in enumerate([7, 7, 7, None, None, None, 8, 8, 9])]
+    rows += [(7, passage), (None, passage), rows[0], rows[4]]
+    table = frame(rows)
+    keys = {r.text: r.key for r in table.select("text", F.xxhash64("text").alias("key")).collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, keys[r[1]]))
+    want = repeats([(order.index(r), r[1]) for r in rows])[0]
+    want = Counter({(order[i][0], *rest): n for (i, *rest), n in want.items()})
+    assert Counter(map(tuple, dedup_digests(table).collect())) == want
+
+
+def test_windows_are_sent_without_the_hash_of_their_text(frame, prose):
+    texts = identified(frame([(1, prose(59, 30))])).withColumns({"nth": F.lit(1).cast("long"), "places": F.array(F.lit(3))})
+    edges = edge_rows(texts, 20)
+    assert edges.columns == ["h1", "h2", "doc_id", "nth", "start", "length", "known"]
+    assert [(r.doc_id, r.nth, r.start, r.length) for r in edges.collect()] == [(1, 1, s, 1) for s in range(4)]
+
+
 def test_texts_without_repeats(frame, odd):
     rows = [r for r in odd if r[0] != 11]
     out = without_repeats(frame(rows))

@@ -1,5 +1,7 @@
 """The whole pipeline on odd rows, repeated rows, other columns and empty tables."""
 
+import glob
+import os
 from collections import Counter
 
 import pytest
@@ -70,6 +72,16 @@ def test_each_stage_does_its_part(spark, folder, odd, prose):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_leave_their_results_only(spark, folder, prose):
+    sf_dir = folder([(k, prose(900 + k, 80)) for k in range(5)], [(1, 1, 0)])
+    root = f"{spark.conf.get('spark.checkpoint.dir')}/faultline"
+    before = set(glob.glob(f"{root}/*"))
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    names = {os.path.basename(f).rsplit("-", 1)[0] for f in set(glob.glob(f"{root}/*")) - before}
+    assert names == {*(f"llm-stage-{name}" for name, _ in corpus_pipeline.STAGES[:-1]), "llm-packing-items"}
+    assert {r.doc_id for r in pieces.collect()} <= set(range(5))
+
+
 def test_empty_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder([], [])).collect() == []
 
